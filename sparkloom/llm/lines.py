@@ -2,9 +2,9 @@
 
 Per source the document frequency of every folded line is compared with its frequency outside the source by the
 log-likelihood ratio of the two binomial rates; the Benjamini-Hochberg rule bounds the share of false discoveries.
-A line that is a habit of other sources too would hide behind them, so those sources are left out of the outside
-rate (the background is that of sources in which the line is *not* a habit). The exact definition of a repeated line
-(rows, share and length) is checked last.
+A line that recurs in other sources as well (one footer on many sites) would hide behind them, so only chance counts
+outside: a source's occurrence is one if the line does not recur there, and all its rows are exposure. The exact
+definition of a repeated line (rows, share and length) is checked last.
 
 Only 16-byte line hashes are shuffled, pre-aggregated per partition; texts never are, except where cleaned texts are
 asked for.
@@ -64,21 +64,15 @@ def excess_lines(
     totals = df.filter(F.col(source).isNotNull()).groupBy(F.col(source).alias("_src")).agg(F.count(F.lit(1)).alias("_n"))
     every = totals.agg(F.sum("_n").alias("_all"))
     tested = line_counts(df, source, text, min_chars).join(totals, "_src")
-    habit = (F.col("_k") >= min_rows) & (F.col("_k") >= min_share * F.col("_n"))
-    known = tested.withColumn("_habit", habit)
-    # Background of a line: all sources but those of which it is a habit. Lines of a single row anywhere need none.
-    per_line = known.groupBy("_h1", "_h2").agg(
-        F.sum(F.when(~F.col("_habit"), F.col("_k")).otherwise(0)).alias("_out_k"),
-        F.sum(F.when(F.col("_habit"), F.col("_n")).otherwise(0)).alias("_habit_n"),
-        F.max("_k").alias("_max_k"),
-    ).filter("_max_k > 1")
+    # Chance occurrences of a line: those in sources where it stands once. Lines of a single row anywhere are not tested.
+    per_line = tested.groupBy("_h1", "_h2").agg(F.count_if(F.col("_k") == 1).alias("_once"), F.max("_k").alias("_max_k")).filter("_max_k > 1")
     scored = (
-        known.filter("_k > 1")
+        tested.filter("_k > 1")
         .join(per_line, ["_h1", "_h2"])
         .crossJoin(F.broadcast(every))  # one row
-        .withColumn("_k2", F.col("_out_k") - F.when(F.col("_habit"), 0).otherwise(F.col("_k")) + F.lit(0.5))
-        .withColumn("_n2", F.greatest(F.col("_all") - F.col("_habit_n") - F.when(F.col("_habit"), 0).otherwise(F.col("_n")), F.lit(0)) + F.lit(1.0))
-        .withColumn("llr", _llr(F.col("_k").cast("double"), F.col("_n").cast("double"), F.least("_k2", "_n2"), F.col("_n2")))
+        .withColumn("_n2", F.col("_all") - F.col("_n") + F.lit(1.0))
+        .withColumn("_k2", F.least(F.col("_once") + F.lit(0.5), F.col("_n2")))
+        .withColumn("llr", _llr(F.col("_k").cast("double"), F.col("_n").cast("double"), F.col("_k2"), F.col("_n2")))
         .withColumn("_bin", F.least(F.floor(F.col("llr") / BIN_WIDTH), F.lit(BINS)))
     )
     bins = scored.groupBy("_bin").agg(F.count(F.lit(1)).alias("_c"))
@@ -86,10 +80,11 @@ def excess_lines(
         "_bin", F.sum("_c").over(W.orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, 0)).alias("_r"), F.sum("_c").over(W.partitionBy(F.lit(0))).alias("_m")
     )
     found = ranked.filter(F.lit(0.5) * F.exp(-F.col("_bin") * BIN_WIDTH / 2) * F.col("_m") / F.col("_r") <= fdr)
+    repeated = (F.col("_k") >= min_rows) & (F.col("_k") >= min_share * F.col("_n"))
     limit = found.agg(F.coalesce(F.min("_bin"), F.lit(BINS + 1)).alias("_limit"))
     return (
         scored.crossJoin(F.broadcast(limit))  # one row
-        .filter((F.col("_bin") >= F.col("_limit")) & F.col("_habit"))
+        .filter((F.col("_bin") >= F.col("_limit")) & repeated)
         .select("_src", "_h1", "_h2", F.col("_k").alias("n_rows"), (F.col("_k") / F.col("_n")).alias("share"), "llr")
     )
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import lines, neardup, overlap, pieces, tokens, vectors
+from sparkloom.llm import layout, lines, moderation, neardup, overlap, pieces, quality, residue, tokens, vectors
 from sparkloom.session import table
 
 #: Where the public vocabularies lie on every machine.
@@ -45,5 +45,53 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("run_words >= 13").select("doc_id", "item_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "crawled_pages")).select("id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return layout.site_lines(table(spark, d, "crawled_pages"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.find_not_prose(table(spark, d, "crawled_pages"))
+
+
+def p7_source_words(spark: SparkSession, d: str) -> DataFrame:
+    return quality.source_words(table(spark, d, "crawled_pages"), table(spark, d, "sources"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = moderation.score_documents(docs, table(spark, d, "moderation_samples"))
+    return scored.filter(F.col("score") >= moderation.BAR).select("doc_id").distinct()
+
+
+def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("source", "text")
+    return moderation.source_rates(moderation.score_documents(docs, table(spark, d, "moderation_samples")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_source_words, p8_ids, p9_found, p10_found, p10_source_rates)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """Queries that SQL can state over whole tables."""
+    folded = r"regexp_replace(regexp_replace(lower(content), '[\t\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g')"
+    return {
+        "p1_found": "SELECT id FROM crawled_pages WHERE length(content) > 5000",
+        "p2_found": rf"""
+            WITH l AS (SELECT id, source_id, unnest(string_split({folded}, chr(10))) AS line, generate_subscripts(string_split({folded}, chr(10)), 1) AS line_no
+                       FROM crawled_pages WHERE source_id IS NOT NULL AND content IS NOT NULL),
+                 t AS (SELECT id, source_id, trim(line, ' ') AS line, line_no FROM l),
+                 n AS (SELECT source_id, count(*) AS n FROM crawled_pages WHERE source_id IS NOT NULL GROUP BY source_id),
+                 k AS (SELECT source_id, line, count(DISTINCT id) AS k FROM t WHERE length(line) >= 20 GROUP BY source_id, line)
+            SELECT t.id, CAST(t.line_no AS INTEGER) AS line_no FROM t JOIN k USING (source_id, line) JOIN n USING (source_id) WHERE k.k >= 5 AND k.k * 10 >= n.n""",
+        "p7_source_words": r"""
+            WITH c AS (SELECT source_id, count(*) AS n_rows, coalesce(sum(len(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'))), 0) AS words FROM crawled_pages GROUP BY source_id),
+                 s AS (SELECT source_id, max(total_word_count) AS stated FROM sources GROUP BY source_id)
+            SELECT coalesce(c.source_id, s.source_id) AS source_id, coalesce(n_rows, 0) AS n_rows, CAST(coalesce(words, 0) AS BIGINT) AS words, CAST(stated AS BIGINT) AS stated,
+                   CAST(coalesce(words, 0) - stated AS BIGINT) AS difference
+            FROM c FULL JOIN s ON c.source_id IS NOT DISTINCT FROM s.source_id""",
+    }
