@@ -33,7 +33,7 @@ COMMON = set(
     "il lo gli della di che non per sono con una os as da do em não para uma com".split()
 )
 STATS = ["log_words", "word_length", "symbol_ratio", "ended_lines", "common_share", "digit_ratio", "item_share", "line_words", "vowel_ratio", "variety", "sentence_share", "odd_ratio"]
-COMPONENTS, ROUNDS = 10, 14
+COMPONENTS, ROUNDS = 22, 14
 CLASSES = ["prose", "list", "table", "junk"]
 _WORD = re.compile(r"[^\W_]+")
 _JOIN = re.compile(r"\n(?![ \t\r]*(?:\n|[-*+•][ \t]|\d{1,3}[.)][ \t]|\||#|=|$))")
