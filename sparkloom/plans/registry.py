@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list[str] = []
+MODULES = ["retrieval", "admin"]
 
 
 def _all(name: str) -> dict:
