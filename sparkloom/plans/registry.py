@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["retrieval", "admin"]
+MODULES = ["retrieval", "admin", "pages"]
 
 
 def _all(name: str) -> dict:
