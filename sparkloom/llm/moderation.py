@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import linear
+from sparkloom.llm import linear, sampling
 from sparkloom.llm.residue import outside_code
 
 #: Hashed features; lengths of n-grams; documents whose passages join the harmless side; score from which such a passage does not;
@@ -178,10 +178,11 @@ def train(samples: list[tuple[str, str]], background: list[str]) -> Model:
 
 
 def fit_tables(samples: DataFrame, docs: DataFrame, text: str = "text") -> Model:
-    """The model from the labelled table and ``BACKGROUND`` documents, those with the smallest hash of their text."""
+    """The model from the labelled table and about ``BACKGROUND`` distinct documents, chosen by the hash of their text."""
     labelled = [(r[0], r[1]) for r in samples.filter(F.col("text").isNotNull()).select("text", "category").orderBy("text").limit(20_000).collect()]
     rows = docs.filter(F.length(F.trim(F.col(text))) > 0).select(F.col(text).alias("_t"))
-    return train(labelled, [r[0] for r in rows.orderBy(F.xxhash64("_t"), "_t").limit(BACKGROUND).collect()])
+    picked = sampling.by_hash(rows, F.col("_t"), BACKGROUND).groupBy(F.xxhash64("_t").alias("_h")).agg(F.first("_t").alias("_t"))
+    return train(labelled, [r["_t"] for r in sorted(picked.collect(), key=lambda r: r["_h"])])
 
 
 def score_documents(docs: DataFrame, samples: DataFrame, text: str = "text", out: str = "score") -> DataFrame:

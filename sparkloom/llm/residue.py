@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import host
-from sparkloom.llm import linear
+from sparkloom.llm import linear, sampling
 from sparkloom.llm.neardup import WORD, mix, word_hashes
 
 #: Features, rows trained on at most, and the two bars. A row over HIGH needs no evidence.
@@ -159,18 +159,20 @@ def features(text: str) -> np.ndarray:
 def train(df: DataFrame, text: str = "content", url: str = "url") -> tuple[np.ndarray, float, dict[str, float]]:
     """Weights, bias and the measures on unseen hosts (a fifth of them), against the weak labels.
 
-    Trained on at most ``TRAIN_ROWS`` rows, those with the smallest hash of their text; only features and labels come
+    Trained on about ``TRAIN_ROWS`` distinct texts, chosen by their hash where they are; only features and labels come
     to the driver.
     """
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": [int(evidence(t) is not None) for t in b["_text"]], "x": [features(t) for t in b["_text"]], "held": b["_held"]})
+            yield pd.DataFrame({"y": [int(evidence(t) is not None) for t in b["_text"]], "x": [features(t) for t in b["_text"]], "held": b["_held"], "h": b["_h"]}).drop_duplicates("h")
 
     held = F.pmod(F.xxhash64(F.coalesce(host(F.col(url)), F.lit(""))), F.lit(5)) == 0
     rows = df.filter(F.length(F.trim(F.col(text))) > 0).select(F.col(text).alias("_text"), held.alias("_held"))
-    sample = rows.orderBy(F.xxhash64("_text"), "_text").limit(TRAIN_ROWS).repartition(16)
-    seen = sample.mapInPandas(examples, "y int, x array<int>, held boolean").toPandas()
+    picked = sampling.by_hash(rows, F.col("_text"), TRAIN_ROWS)
+    seen = picked.withColumn("_h", F.xxhash64("_text")).mapInPandas(examples, "y int, x array<int>, held boolean, h long").toPandas()
+    # Copies of a text count once, however many there are, and the order is that of the hashes.
+    seen = seen.drop_duplicates("h").sort_values("h")
     if not len(seen):
         return np.zeros(DIM), -30.0, {"precision": 1.0, "recall": 1.0, "f1": 1.0}
     own, rest = seen[~seen["held"]], seen[seen["held"]]

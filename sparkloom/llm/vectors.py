@@ -13,7 +13,7 @@ Shuffled are codes and norms (about 40 bytes per probe), and full vectors for pr
 are cut into blocks of ``BLOCK`` stored vectors and ``BLOCK`` queries, one task group each. Copies (equal vectors) are
 collapsed before the search and come back as members of their representative.
 
-The books are trained on the driver on ``TRAIN`` vectors chosen by the hash of their key; all vectors are indexed.
+The books are trained on the driver on about ``TRAIN`` vectors chosen by the hash of their key; all vectors are indexed.
 Vectors that are null, of another length, zero, or hold a NaN or an infinity take no part.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparkloom.llm import sampling
 from sparkloom.session import cut_lineage
 
 TRAIN, BEAM, CELL, BLOCK, BOOKS, WORDS = 12_000, 8, 24, 2048, 10, 64
@@ -127,7 +128,7 @@ def propose(vectors: DataFrame, kind: str, least: float, keep: int | None, queri
     """
     spark = vectors.sparkSession
     total = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("_key"), "_key").limit(TRAIN).select("_vec").toPandas()["_vec"]
+    sample = sampling.by_hash(vectors, F.col("_key"), TRAIN, total).toPandas().sort_values("_key")["_vec"]
     if not len(sample):
         return spark.createDataFrame([], f"_q {kind}, _x {kind}")
     books = train(_unit(sample), total)
