@@ -100,14 +100,15 @@ def valid(code: Column, lang: Column) -> Column:
     """Whether a block is code and not a tree, list, settings or diagram (CD5)."""
     lines = F.filter(F.transform(F.split(code, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     n = F.size(lines)
-    coded = F.size(F.filter(lines, lambda x: _has(x, CODE_SIGNS))) / n
+    coded = F.try_divide(F.size(F.filter(lines, lambda x: _has(x, CODE_SIGNS))), n)
     setting = lambda x: x.rlike(r"^[^:]*[^:\s][^:]*:[^:]*[^:\s][^:]*$") & ~_has(x, ["(", ")", "{", "}", ";", "function", "def ", "class ", "if ", "for ", "while "])
-    settings = F.size(F.filter(lines, setting)) / n
+    settings = F.try_divide(F.size(F.filter(lines, setting)), n)
     known = lang.isin(DATA)
     construct = _matches(code, CONSTRUCTS, "(?i)") | known
     brief = F.length(code) < 200
     signs = _has(code, ["(", ")", "{", "}", "[", "]", "=", ";"])
     short_lines = F.forall(lines, lambda x: F.size(white_words(x)) < 5)
+    coded, settings = F.coalesce(coded, L(1.0)), F.coalesce(settings, L(0.0))
     return (
         F.length(code).between(25, 10000) & F.contains(code, L("\n")) & ~_has(code, TREES) & ~((n >= 3) & (coded < 0.3)) & ~((n > 3) & (settings > 0.8) & ~known) & ~_has(F.lower(code), DIAGRAMS) & construct
         & ~(brief & (~signs | (short_lines & ~_matches(code, SHORT_CONSTRUCTS, "(?i)"))))

@@ -123,7 +123,7 @@ def navigation_elements(text: Column) -> dict[str, Column]:
 
     streaks = F.aggregate(lines, F.struct(L(0).alias("score"), L(0).alias("run")), step, lambda acc: acc["score"])
     words = F.size(white_words(text))
-    density = count(text, r"\[([^\]]*)\]\([^)]*\)") / words
+    density = F.try_divide(count(text, r"\[([^\]]*)\]\([^)]*\)"), words)
     heavy = F.when(words < 10, 0).when(density > 0.4, F.floor(density * 50)).when(density > 0.2, F.floor(density * 20)).otherwise(0).cast("int")
     shapes = F.transform(F.filter(lines, lambda x: F.contains(x, L("[")) & F.contains(x, L("]("))), lambda x: F.regexp_replace(F.regexp_replace(x, r"\[[^\]]*\]", "[T]"), r"\([^)]*\)", "(U)"))
     repeated = F.aggregate(F.array_distinct(shapes), L(0), lambda acc, s: acc + F.when(F.size(F.filter(shapes, lambda x: x == s)) >= 3, F.size(F.filter(shapes, lambda x: x == s)) * 2).otherwise(0))
@@ -135,7 +135,7 @@ def extraction_check(text: Column) -> dict[str, Column]:
     low, words = F.lower(text), F.size(white_words(text))
     artifacts = total([occurrences(low, a) for a in ARTIFACTS]) + count(text, r"<[^>]+>")
     script = any_of([F.contains(low, L(s)) for s in SCRIPTS] + [low.rlike(p) for p in (r"function\s*\([^)]*\)\s*\{", r"var\s+[a-z0-9_]+\s*=", r"document\.[a-z0-9_]+", r"window\.[a-z0-9_]+")])
-    space = (count(text, r"\n\s*\n\s*\n\s*\n") > 3) | (count(text, r"\s") / F.length(text) > 0.15)
+    space = (count(text, r"\n\s*\n\s*\n\s*\n") > 3) | (F.try_divide(count(text, r"\s"), F.length(text)) > 0.15)
     noise = total([occurrences(low, w) for w in NOISE])
     ratio = F.when(words == 0, 0.0).otherwise(F.greatest(L(0.0), 1.0 - F.least(noise / words, L(1.0)) * 2))
     density = F.when(words == 0, 0.0).otherwise((count(text, r"\[([^\]]+)\]\(([^)]+)\)") + count(text, r"https?://[^\s]+")) / words)
@@ -158,10 +158,11 @@ def selector_check(text: Column, tier: int = 0) -> dict[str, Column]:
     links = per_word(count(text, r"\[([^\]]*)\]\([^)]*\)"))
     keys = per_word(total([occurrences(low, w) for w in KEYWORDS]))
     items = F.regexp_extract_all(text, L(r"(?m)^[ \t]*[-*+][ \t]+([^\r\n]+)"), 1)
-    item_words = F.aggregate(items, L(0), lambda a, x: a + F.size(white_words(x))) / F.size(items)
-    tags = count(text, r"[#*`\[\]()_~]") / F.length(text)
+    item_words = F.aggregate(items, L(0), lambda a, x: a + F.size(white_words(x)))
+    item_words = F.try_divide(item_words, F.size(items))
+    tags = F.try_divide(count(text, r"[#*`\[\]()_~]"), F.length(text))
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*$"))
-    short = F.size(F.filter(lines, lambda x: F.size(white_words(x)) <= 4)) / F.size(lines)
+    short = F.try_divide(F.size(F.filter(lines, lambda x: F.size(white_words(x)) <= 4)), F.size(lines))
     least = {0: 50, 1: 40, 2: 30, 3: 20, 4: 15}.get(tier, 15)
     return {"words": words, "links": F.round(links, 6), "keys": F.round(keys, 6), "item_words": F.round(F.when(F.size(items) > 0, item_words), 6), "tags": F.round(F.coalesce(tags, L(0.0)), 6), "short": F.round(F.when(F.size(lines) > 5, short), 6), "few": words < least}
 

@@ -71,7 +71,7 @@ def qe2_coherence(spark: SparkSession, d: str) -> DataFrame:
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     parts = e.withColumn("_l", length).select("label", F.posexplode(F.transform("embedding", lambda x: x.cast("double") / F.col("_l"))).alias("i", "x"))
     sums = parts.groupBy("label", "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    return sums.groupBy("label").agg(F.max("n").alias("n"), F.round((F.sum(F.col("s") * F.col("s")) - F.max("n")) / (F.max("n") * (F.max("n") - 1)), 6).alias("avg_cosine"))
+    return sums.groupBy("label").agg(F.max("n").alias("n"), F.round(F.try_divide(F.sum(F.col("s") * F.col("s")) - F.max("n"), F.max("n") * (F.max("n") - 1)), 6).alias("avg_cosine"))
 
 
 QUERIES = {f.__name__: f for f in (ch5_markdown_chunks, ch9_semantic_chunks, ch6_chunk_checks, ch7_chunk_sizes, src8_link_walk, src6_successful_pages, ag16_latency, rt11_baseline_comparison, ag21_memory_slope, qe2_coherence)}
