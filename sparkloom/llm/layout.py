@@ -36,6 +36,7 @@ from sparkloom.session import cut_lineage
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template", "noscript", "head", "title", "svg", "iframe", "object"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "table", "tr", "pre", "blockquote", "figure", "form", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "dt", "dd", "body", "html", "fieldset", "address", "caption"}
+ROWS = {"li", "tr", "dt", "dd"}
 #: Start tags that end an open element, if it is the nearest one inside the given scopes (fixed values of the HTML standard).
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -63,12 +64,14 @@ class TreeBuilder(HTMLParser):
             self.open.pop()
         if tag in IMPLIED:
             ends, scopes = IMPLIED[tag]
+            first = None
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i].tag in scopes:
                     break
                 if self.open[i].tag in ends:
-                    del self.open[i:]
-                    break
+                    first = i
+            if first is not None:
+                del self.open[first:]
         given = dict(attrs)
         style = re.sub(r"\s", "", (given.get("style") or "").lower())
         hidden = self.open[-1].hidden or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
@@ -111,7 +114,7 @@ def _emit(node: _Node, out: list[str], pre: bool = False, depth: int = 0) -> Non
         out.append("\n\n" + "\n".join("| " + " | ".join(c.ljust(widths[i]) for i, c in enumerate(r)) + " |" for r in rows) + "\n\n")
         return
     if tag in BLOCKS:
-        out.append("\n" if tag in ("li", "tr", "dt", "dd", "ul", "ol") else "\n\n")
+        out.append("\n" if tag in ROWS else "" if tag in ("ul", "ol") and depth else "\n\n")
     if re.fullmatch("h[1-6]", tag):
         out.append("#" * int(tag[1]) + " ")
     if tag == "li":
@@ -120,19 +123,23 @@ def _emit(node: _Node, out: list[str], pre: bool = False, depth: int = 0) -> Non
         out.append("```\n")
     for p in node.parts:
         if isinstance(p, str):
-            out.append(p if pre or tag == "pre" else re.sub(r"\s+", " ", p))
+            if pre or tag == "pre":
+                out.append(p)
+            else:
+                shown = re.sub(r"\s+", " ", p)
+                out.append(shown.lstrip() if not out or out[-1].endswith("\n") else shown)
         else:
             _emit(p, out, pre or tag == "pre", depth + (tag in ("ul", "ol")))
     if tag == "pre":
         out.append("\n```")
-    if tag in BLOCKS:
-        out.append("\n" if tag in ("li", "tr", "dt", "dd", "ul", "ol") else "\n\n")
+    if tag in BLOCKS and tag not in ROWS:
+        out.append("" if tag in ("ul", "ol") and depth else "\n\n")
 
 
 def render_node(node: _Node) -> str:
     out: list[str] = []
     _emit(node, out)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", re.sub(r"\n[ \t]+(?=[^\s-])", "\n", "".join(out)))).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out))).strip()
 
 
 def render_html(html: str | None) -> str | None:

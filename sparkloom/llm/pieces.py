@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-LIMIT, OVERLAP, RANGE_CHARS, SEGMENT, HALO = 5_000, 200, 65_536, 64, 16
+LIMIT, OVERLAP, RANGE_CHARS, SEGMENT, HALO = 5_000, 200, 65_536, 64, 256
 #: What a boundary is worth: end of a paragraph or code block, of a sentence, of a line, of a word.
 BLOCK, SENTENCE, LINE, WORD = 3, 2, 1, 0
 _MARKS = re.compile(
@@ -30,29 +30,37 @@ _MARKS = re.compile(
 )
 
 
+_LINE_START = re.compile(r"(?<=\n)(?=\S)")
+
+
 def scan(text: str, lo: int, hi: int) -> tuple[list[int], list[int], list[int], int]:
     """Boundaries whose mark ends in (lo, hi]: places from ``lo``, worth, fences before each; and the fences of the range.
 
-    Words are listed once per 256 characters at most: they matter only where there is nothing else.
+    The text before ``lo`` and after ``hi`` is the halo: reading starts at the last line that begins before ``lo`` with
+    text, so a range sees the marks that a reading of the whole would see. Words are listed once per 256 characters at
+    most: they matter only where there is nothing else.
     """
     places, worth, fences, seen, last = [], [], [], 0, lo
-    for m in _MARKS.finditer(text):
+    at = 0
+    if lo:
+        starts = [m.start() for m in _LINE_START.finditer(text, 1, lo + 1) if m.start() <= lo]
+        at = starts[-1] if starts else 1
+    for m in _MARKS.finditer(text, at):
         end, kind = m.end(), m.lastgroup
+        if end <= lo:
+            continue
         if end > hi:
             break
         if kind == "fence":
-            if m.start() < lo or end <= lo:
-                continue
-            if m.start() > lo and not seen % 2:  # before an opening fence
-                places.append(m.start() - lo), worth.append(BLOCK), fences.append(seen)
+            # Before an opening fence; before a closing one the place counts as inside.
+            places.append(m.start() - lo), worth.append(BLOCK), fences.append(seen)
             seen += 1
             places.append(end - lo), worth.append(BLOCK), fences.append(seen)
-            last = end
-        elif end > lo:
-            if kind == "word" and end - last < 256:
-                continue
+        elif kind == "word" and end - last < 256:
+            continue
+        else:
             places.append(end - lo), worth.append({"para": BLOCK, "sent": SENTENCE, "line": LINE, "word": WORD}[kind]), fences.append(seen)
-            last = end
+        last = end
     return places, worth, fences, seen
 
 
