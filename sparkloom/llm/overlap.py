@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparkloom.session import cut_lineage
+
 WORD = re.compile(r"[^\W_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,7 +121,7 @@ def _seeded(docs: DataFrame, key: str, text: str, kinds: str, items: list[tuple]
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    run: int = 13, seed: int = 6, block_items: int = 20_000,
+    run: int = 13, seed: int = 6, block_items: int = 2_000,
 ) -> DataFrame:
     """``key, item, run_words, score, share``: documents and the items of which they hold a seed of every window's kind.
 
@@ -139,7 +141,7 @@ def find_leaks(
 
 def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, kinds: str, item: str, run: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
-    met = _seeded(docs, key, text, kinds, rows, run, seed)
+    met = cut_lineage(_seeded(docs, key, text, kinds, rows, run, seed))  # the matches alone: the corpus is read once for them
     # How many documents hold a seed decides which seed stands for a window.
     frequency = met.select("_key", "_seed").distinct().groupBy("_seed").agg(F.count(F.lit(1)).alias("_df"))
     number: dict[str, int] = {}
