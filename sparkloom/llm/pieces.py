@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparkloom.session import cut_lineage
+
 LIMIT, OVERLAP, RANGE_CHARS, SEGMENT, HALO = 5_000, 200, 65_536, 64, 256
 #: What a boundary is worth: end of a paragraph or code block, of a sentence, of a line, of a word.
 BLOCK, SENTENCE, LINE, WORD = 3, 2, 1, 0
@@ -160,7 +162,8 @@ def split_column(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap
                 out.append((rid, no, hi - lo, fences, places, worth, before))
             yield pd.DataFrame(out, columns=["_rid", "_range", "_chars", "_fences", "_places", "_worth", "_before"])
 
-    pieces = _numbered(_planned(read.mapInPandas(tables, _TABLE), limit, overlap, segment))
+    # Boundary tables are small beside the texts and needed four times: they are written once.
+    pieces = _numbered(_planned(cut_lineage(read.mapInPandas(tables, _TABLE)), limit, overlap, segment))
     pieces = pieces.withColumn("_range", F.floor(F.col("_from") / range_chars))
     texts = ranges.select("_rid", "_key", (F.col("_start") / range_chars).cast("long").alias("_range"), "_start", part(0, limit).alias("_part"))
     cut = F.substring(F.col("_part"), (F.col("_from") - F.col("_start") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int"))
@@ -209,7 +212,7 @@ def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: int =
                 places, worth, fences_before, fences = scan(before + text + after, len(before), len(before) + len(text))
                 yield pd.DataFrame({"_rid": [rid], "_range": [no], "_chars": [len(text)], "_fences": [fences], "_places": [places], "_worth": [worth], "_before": [fences_before]})
 
-    read = ranges.mapInPandas(tables, _TABLE)
+    read = cut_lineage(ranges.mapInPandas(tables, _TABLE))
     pieces = _numbered(_planned(read, limit, overlap, segment))
     offsets = _stitched(read.select("_rid", "_range", "_chars", "_fences"), segment).select("_rid", "_range", "_off", "_chars")
     # A piece starts in exactly one range: its number is found from the running sums, by interval.
