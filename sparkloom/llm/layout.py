@@ -215,6 +215,7 @@ _LOCAL = re.compile(r"\[[^\]]*\]\((?:/|#|\.)[^)]*\)")
 _ANY_LINK = re.compile(r"\[[^\]]*\]\([^)]*\)")
 _ITEM = re.compile(r"^(?:[-*+•‣▪]|\d{1,3}[.)])\s+")
 _RULE = re.compile(r"^(?:[-=_*~`|:+ ]{3,})$")
+_FENCE_LINE = re.compile(r"(?:```[^`]*|~~~ ?[\w+#.-]*)$")
 _SPLIT = re.compile(r"\s*[|•·‧∙/]\s*|\s{2,}")
 _END = re.compile(r"[.!?:;。！？…]['\")\]*_]*$")
 
@@ -262,7 +263,7 @@ def label(text: str, known: set[int] | frozenset[int], whole_body: bool = False)
             if box == 2:
                 box = 0
             continue
-        if line.startswith(("```", "~~~")):
+        if line[:3] in ("```", "~~~") and _FENCE_LINE.match(line):
             fence = not fence
             kinds[i], box = CODE, 0
             continue

@@ -28,7 +28,7 @@ LIMIT, OVERLAP, RANGE_CHARS, SEGMENT, HALO = 5_000, 200, 65_536, 64, 256
 #: What a boundary is worth: end of a paragraph or code block, of a sentence, of a line, of a word.
 BLOCK, SENTENCE, LINE, WORD = 3, 2, 1, 0
 _MARKS = re.compile(
-    r"(?P<fence>^[ \t]*(?:```|~~~)[^\n]*(?:\n|\Z))|(?P<para>\n(?:[ \t\r]*\n)+)|(?P<sent>[.!?…][\"')\]”»]*[ \t\r]*\n|[.!?…][\"')\]”»]*[ \t]+|[。！？]+)|(?P<line>\n)|(?P<word>[ \t]+)", re.M
+    r"(?P<fence>^[ \t]*(?:```[^`\n]*|~~~[ \t]*[\w+#.-]*[ \t\r]*)(?:\n|\Z))|(?P<para>\n(?:[ \t\r]*\n)+)|(?P<sent>[.!?…][\"')\]”»]*[ \t\r]*\n|[.!?…][\"')\]”»]*[ \t]+|[。！？]+)|(?P<line>\n)|(?P<word>[ \t]+)", re.M
 )
 
 

@@ -26,7 +26,7 @@ from sparkloom.llm.neardup import WORD, mix, word_hashes
 #: Features, rows trained on at most, and the two bars. A row over HIGH needs no evidence.
 DIM, TRAIN_ROWS, LOW, HIGH = 1 << 16, 12_000, 0.02, 0.995
 
-_FENCE = re.compile(r"^[ \t]*(?:```|~~~)[^\n]*\n?", re.M)
+_FENCE = re.compile(r"^[ \t]*(?:```[^`\n]*|~~~[ \t]*[\w+#.-]*[ \t\r]*)(?:\n|\Z)", re.M)
 _INLINE = re.compile(r"`[^`\n]*(?:\n(?![ \t\r]*\n)[^`\n]*){0,2}`|``.{1,200}?``")
 #: Unfilled placeholders (fixed values: the template languages' forms).
 PLACEHOLDER = re.compile(
@@ -148,7 +148,7 @@ def features(text: str) -> np.ndarray:
     own, n = PLACEHOLDER.subn(" qqplaceholderqq ", own) if held else (own, 0)
     words = word_hashes(own)
     title = word_hashes(own.strip().split("\n", 1)[0][:200])
-    fixed = [1000 + int(np.log2(len(own) + 1)), 1100 + min(40, len(words) // 8), 1200 + min(20, own.count("\n"))] + ([1300 + k for k in range(8)] if n else [])
+    fixed = [1000 + int(np.log2(len(own) + 1)), 1100 + min(40, len(words) // 8), 1200 + min(20, own.count("\n"))] + ([1300 + k for k in range(24)] if n else [])
     if len(own) < 4 * SHORT_CHARS:
         fixed += [xxhash.xxh64_intdigest(re.sub("[0-9]+", "0", x.lower())) for x in _SHORT.findall(own)]
     pairs = words[:-1] * np.uint64(3) + words[1:]
