@@ -177,17 +177,23 @@ def train(samples: list[tuple[str, str]], background: list[str]) -> Model:
     return _fit(rows + kept, np.concatenate([labels, np.zeros(len(kept))]))
 
 
-def fit_tables(samples: DataFrame, docs: DataFrame, text: str = "text") -> Model:
-    """The model from the labelled table and about ``BACKGROUND`` distinct documents, chosen by the hash of their text."""
+def fit_tables(samples: DataFrame, docs: DataFrame, text: str = "text", harmless: DataFrame | None = None) -> Model:
+    """The model from the labelled table and about ``BACKGROUND`` distinct documents, chosen by the hash of their text.
+
+    ``harmless``: a bounded table (``text``) of texts known to be so, of a kind that stands in documents and that the
+    labelled ones don't have; at most 20,000 are used.
+    """
     labelled = [(r[0], r[1]) for r in samples.filter(F.col("text").isNotNull()).select("text", "category").orderBy("text").limit(20_000).collect()]
+    if harmless is not None:
+        labelled += [(r[0], "none") for r in harmless.filter(F.col("text").isNotNull()).select("text").orderBy("text").limit(20_000).collect()]
     rows = docs.filter(F.length(F.trim(F.col(text))) > 0).select(F.col(text).alias("_t"))
     picked = sampling.by_hash(rows, F.col("_t"), BACKGROUND).groupBy(F.xxhash64("_t").alias("_h")).agg(F.first("_t").alias("_t"))
     return train(labelled, [r["_t"] for r in sorted(picked.collect(), key=lambda r: r["_h"])])
 
 
-def score_documents(docs: DataFrame, samples: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
+def score_documents(docs: DataFrame, samples: DataFrame, text: str = "text", out: str = "score", harmless: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``out``: how likely its worst passage is abusive, hateful or sexually explicit."""
-    model = fit_tables(samples, docs, text)
+    model = fit_tables(samples, docs, text, harmless)
     shared = docs.sparkSession.sparkContext.broadcast((model.product, model.bias))
 
     @F.pandas_udf("double")

@@ -63,13 +63,14 @@ def p7_source_words(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    scored = moderation.score_documents(docs, table(spark, d, "moderation_samples"))
+    # The evaluation passages that documents quote are harmless prose of their own kind.
+    scored = moderation.score_documents(docs, table(spark, d, "moderation_samples"), harmless=table(spark, d, "eval_items"))
     return scored.filter(F.col("score") >= moderation.BAR).select("doc_id").distinct()
 
 
 def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "text")
-    return moderation.source_rates(moderation.score_documents(docs, table(spark, d, "moderation_samples")))
+    return moderation.source_rates(moderation.score_documents(docs, table(spark, d, "moderation_samples"), harmless=table(spark, d, "eval_items")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
