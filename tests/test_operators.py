@@ -184,3 +184,21 @@ def test_stream(spark, tmp_path):
     query = counts.writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("select sum(n_rows) from arrivals").first()[0] == 3
+
+
+def test_models_of_null_and_empty(spark):
+    from sparkloom.operators import models
+
+    df = spark.createDataFrame([(None, None), ("", ""), ("# Head\n\nwords here", "words")], "t string, c string")
+    got = df.select(models.hashed_embedder(8)(F.col("t")).alias("v"), models.template_writer()(F.col("t"), F.col("c")).alias("x"), models.overlap_reranker()(F.col("c"), F.col("t")).alias("s")).collect()
+    assert got[0]["v"] == [0.0] * 8 == got[1]["v"] and abs(sum(v * v for v in got[2]["v"]) - 1) < 1e-6
+    assert (got[0]["x"], got[1]["x"], got[2]["x"]) == (None, "", "[DOCUMENT] Head\n---\nwords")
+    assert [r["s"] for r in got] == [0.0, 0.0, 1.0]
+
+
+def test_combined_score_leaves_out_missing_parts(spark):
+    from sparkloom.operators import analysis
+
+    df = spark.createDataFrame([(1.0, None), (None, None), (0.5, 1.0)], "a double, b double")
+    none = F.lit(None).cast("double")
+    assert [r[0] for r in df.select(analysis.combined_score(F.col("a"), F.col("b"), none, none)).collect()] == [1.0, 0.0, 0.666667]
