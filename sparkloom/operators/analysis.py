@@ -20,7 +20,7 @@ def link_categories(text: Column) -> dict[str, Column]:
 
 def combined_score(base: Column, validation: Column, duplication: Column, links: Column) -> Column:
     """QE6: weighted mean of the parts that are there: 0.4, 0.2, 0.1 (less duplication) and 0.15."""
-    parts = [(base, 0.4), (validation, 0.2), (F.greatest(L(0.0), 1.0 - duplication), 0.1), (links, 0.15)]
+    parts = [(base, 0.4), (validation, 0.2), (F.when(duplication.isNotNull(), F.greatest(L(0.0), 1.0 - duplication)), 0.1), (links, 0.15)]
     top, weight = L(0.0), L(0.0)
     for value, w in parts:
         top = top + F.coalesce(value * w, L(0.0))
