@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from sparkloom.llm import sampling
 from sparkloom.session import cut_lineage
 
-TRAIN, BEAM, CELL, BLOCK, BOOKS, WORDS = 12_000, 8, 24, 2048, 10, 64
+TRAIN, BEAM, CELL, BLOCK, BOOKS, WORDS = 12_000, 12, 24, 2048, 10, 64
 #: Width of the beam after the cell is chosen.
 REFINE = 3
 
