@@ -89,6 +89,24 @@ def oracle_sql() -> dict[str, str]:
                  n AS (SELECT source_id, count(*) AS n FROM crawled_pages WHERE source_id IS NOT NULL GROUP BY source_id),
                  k AS (SELECT source_id, line, count(DISTINCT id) AS k FROM t WHERE length(line) >= 20 GROUP BY source_id, line)
             SELECT t.id, CAST(t.line_no AS INTEGER) AS line_no FROM t JOIN k USING (source_id, line) JOIN n USING (source_id) WHERE k.k >= 5 AND k.k * 10 >= n.n""",
+        "p3_found": """
+            WITH v AS (SELECT 'p' || id AS key, embedding FROM crawled_pages UNION ALL SELECT 'c' || id, embedding FROM code_examples),
+                 u AS (SELECT key, CAST(embedding AS DOUBLE[]) AS e FROM v WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+                 s AS (SELECT a.key AS a, b.key AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.key <> b.key),
+                 r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS n FROM s WHERE c >= 0.89)
+            SELECT DISTINCT least(a, b) AS key_a, greatest(a, b) AS key_b FROM r WHERE n <= 5 AND c >= 0.9""",
+        "p4_found": r"""
+            WITH w AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM crawled_pages WHERE content IS NOT NULL),
+                 g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM w WHERE len(w) >= 30),
+                 n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+                 p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
+            SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k * 10 >= 6 * (x.n + y.n - k)""",
+        "p9_found": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+                 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+                 dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(list_slice(w, k, k + 12), ' '))) AS g FROM d WHERE len(w) >= 13),
+                 ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(list_slice(w, k, k + 12), ' '))) AS g FROM i WHERE len(w) >= 13)
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
         "p7_source_words": r"""
             WITH c AS (SELECT source_id, count(*) AS n_rows, coalesce(sum(len(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'))), 0) AS words FROM crawled_pages GROUP BY source_id),
                  s AS (SELECT source_id, max(total_word_count) AS stated FROM sources GROUP BY source_id)
