@@ -64,11 +64,10 @@ def content_type(text: Column, url: Column) -> Column:
         test = F.exists(F.array(*[L(p) for p in by_name[name]]), lambda p: F.contains(where, p))
         out = F.when(test, name) if out is None else out.when(test, name)
     scores = [F.size(F.filter(F.array(*[L(w) for w in words]), lambda w: F.contains(low, w))) for _, _, words in TYPES]
-    best = F.greatest(*scores)
-    rest = F.when(best < 2, "general")
-    for (name, _, _), score in zip(TYPES, scores):
-        rest = rest.when(score == best, name)
-    return out.otherwise(rest)
+    # The best of all in one pass: each score is counted once, the earlier type wins a tie.
+    best = F.array_max(F.array(*[F.struct(score.alias("score"), L(-k).alias("order"), L(name).alias("name")) for k, ((name, _, _), score) in enumerate(zip(TYPES, scores))]))
+    by_text = F.transform(F.array(best), lambda b: F.when(b["score"] < 2, "general").otherwise(b["name"]))[0]
+    return out.otherwise(by_text)
 
 
 def labels(text: Column) -> Column:
