@@ -57,23 +57,28 @@ def framework(domain: Column) -> Column:
 
 def content_type(text: Column, url: Column) -> Column:
     """The address decides first; else the type with most words of its list in the text, two at least, the earlier one in a tie (MD8)."""
-    low, where = F.lower(F.coalesce(text, L(""))), F.lower(F.coalesce(url, L("")))
     by_name = {name: places for name, places, _ in TYPES}
-    out = None
-    for name in ADDRESS_ORDER:
-        test = F.exists(F.array(*[L(p) for p in by_name[name]]), lambda p: F.contains(where, p))
-        out = F.when(test, name) if out is None else out.when(test, name)
-    scores = [F.size(F.filter(F.array(*[L(w) for w in words]), lambda w: F.contains(low, w))) for _, _, words in TYPES]
-    # The best of all in one pass: each score is counted once, the earlier type wins a tie.
-    best = F.array_max(F.array(*[F.struct(score.alias("score"), L(-k).alias("order"), L(name).alias("name")) for k, ((name, _, _), score) in enumerate(zip(TYPES, scores))]))
-    by_text = F.transform(F.array(best), lambda b: F.when(b["score"] < 2, "general").otherwise(b["name"]))[0]
-    return out.otherwise(by_text)
+
+    def decide(low: Column, where: Column) -> Column:
+        out = None
+        for name in ADDRESS_ORDER:
+            test = F.exists(F.array(*[L(p) for p in by_name[name]]), lambda p: F.contains(where, p))
+            out = F.when(test, name) if out is None else out.when(test, name)
+        scores = [F.size(F.filter(F.array(*[L(w) for w in words]), lambda w: F.contains(low, w))) for _, _, words in TYPES]
+        # The best of all in one pass: each score is counted once, the earlier type wins a tie.
+        best = F.array_max(F.array(*[F.struct(score.alias("score"), L(-k).alias("order"), L(name).alias("name")) for k, ((name, _, _), score) in enumerate(zip(TYPES, scores))]))
+        by_text = F.transform(F.array(best), lambda b: F.when(b["score"] < 2, "general").otherwise(b["name"]))[0]
+        return out.otherwise(by_text)
+
+    # Lower case is made once per row: a lambda's variable is a value, an expression in it would be made per word.
+    both = F.array(F.struct(F.lower(F.coalesce(text, L(""))).alias("low"), F.lower(F.coalesce(url, L(""))).alias("where")))
+    return F.transform(both, lambda r: decide(r["low"], r["where"]))[0]
 
 
 def labels(text: Column) -> Column:
     """All labels that apply, in order, or general (MD4)."""
-    low = F.lower(text)
-    own = F.array_compact(F.array(*[F.when(F.exists(F.array(*[L(w) for w in words]), lambda w: F.contains(low, w)), name) for name, words in LABELS]))
+    each = lambda low: F.array_compact(F.array(*[F.when(F.exists(F.array(*[L(w) for w in words]), lambda w: F.contains(low, w)), name) for name, words in LABELS]))
+    own = F.transform(F.array(F.lower(text)), each)[0]
     return F.when(F.size(own) == 0, F.array(L("general"))).otherwise(own)
 
 
