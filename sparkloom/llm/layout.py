@@ -12,7 +12,8 @@ body, or to the site. A line is the site's if
 
 A list, table or junk that is all a page has stays its body, and so does everything on an error or filler page.
 
-Nulls and blank texts have no lines to report. Lines are split at ``\\n`` and numbered from 1; code blocks are body.
+Nulls and blank texts have no lines to report. Lines are split at ``\\n`` and numbered from 1; code blocks are body, and a
+fence that is never closed is one line of code.
 """
 
 from __future__ import annotations
@@ -256,6 +257,8 @@ def label(text: str, known: set[int] | frozenset[int], whole_body: bool = False)
     lines = text.split("\n")
     kinds = [BLANK] * len(lines)
     bare = [" ".join(x.split()) for x in lines]
+    marks = [i for i, line in enumerate(bare) if line[:3] in ("```", "~~~") and _FENCE_LINE.match(line)]
+    alone = marks[-1] if len(marks) % 2 else -1  # never closed: what follows is read as text
     fence = False
     box = 0  # 0: outside; 1: just after a box title; 2: inside, something read
     for i, line in enumerate(bare):
@@ -264,7 +267,7 @@ def label(text: str, known: set[int] | frozenset[int], whole_body: bool = False)
                 box = 0
             continue
         if line[:3] in ("```", "~~~") and _FENCE_LINE.match(line):
-            fence = not fence
+            fence = not fence and i != alone
             kinds[i], box = CODE, 0
             continue
         if fence:

@@ -75,7 +75,7 @@ SHORT_CHARS, LONG_LINE_WORDS = 900, 16
 
 
 def outside_code(text: str) -> str:
-    """The text without code blocks and inline code."""
+    """The text without code blocks and inline code. A fence that is never closed is left out alone, not what follows it."""
     if "`" not in text and "~~~" not in text:
         return text
     marks = list(_FENCE.finditer(text))
@@ -83,7 +83,7 @@ def outside_code(text: str) -> str:
         parts, at = [], 0
         for k in range(0, len(marks), 2):
             parts.append(text[at : marks[k].start()])
-            at = marks[k + 1].end() if k + 1 < len(marks) else len(text)
+            at = marks[min(k + 1, len(marks) - 1)].end()
         parts.append(text[at:])
         text = "\n".join(parts)
     return _INLINE.sub(" ", text) if "`" in text else text

@@ -1,0 +1,14 @@
+"""Parts of a text or table that were passed over before."""
+
+from sparkloom.llm import layout, residue
+
+
+def test_lines_after_a_fence_that_is_never_closed_are_labelled():
+    kinds = layout.label("Words of the page.\n```py\nx = 1\n```\n```\nMore words here.\n© 2022 Some Press. All rights reserved.", frozenset())
+    assert kinds == [layout.BODY, layout.CODE, layout.CODE, layout.CODE, layout.CODE, layout.BODY, layout.SITE]
+
+
+def test_text_after_a_fence_that_is_never_closed_is_outside_code():
+    assert residue.outside_code("a\n```\nx\n```\nb\n```\nc\n").split() == ["a", "b", "c"]
+    assert residue.outside_code("a\n~~~\nc").split() == ["a", "c"]
+    assert residue.evidence("Some words.\n```\nMore words.\n\nTBD") == "unwritten"
