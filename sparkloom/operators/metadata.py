@@ -88,11 +88,36 @@ def headers(text: Column) -> Column:
 
 
 def heading_title(text: Column) -> Column:
-    """The first heading of the first level, without marks; null if there is none (MD1, MD2)."""
+    """The first heading of the first level, without marks; null if there is none (MD2)."""
     first = F.regexp_extract(text, r"(?m)^[ \t]*# ([^\r\n]*\S)", 1)
     return F.when(first != "", F.trim(F.regexp_replace(first, r"[#*_`]", "")))
 
 
+def title(text: Column) -> Column:
+    """MD1: the first heading of the first level; else the first line that is underlined with ``=`` or names a title, name or subject; else the first
+    line of more than 5 characters, cut at 50; else Untitled Document, as for null and empty texts. Lines end at ``\\n``; marks are taken out."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    clean = lambda c: strip(F.regexp_replace(c, r"[#*_`]", ""))
+    filled = lambda c: F.when(c != "", c)
+
+    def underlined_or_named(lines: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            under = F.when(~F.startswith(line, L("#")) & F.startswith(F.get(lines, i + 1), L("=")), filled(clean(line)))
+            named = F.when(F.lower(line).rlike("title|name|subject"), clean(filled(strip(F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1)))))
+            return F.coalesce(under, named)
+
+        return F.get(F.array_compact(F.transform(lines, one)), L(0))
+
+    def chain(lines: Column) -> Column:
+        heading = F.get(F.filter(lines, lambda x: F.startswith(x, L("# "))), L(0))
+        first = clean(F.get(F.filter(lines, lambda x: (F.length(x) > 5) & ~x.rlike("^(?:#|```|---)")), L(0)))
+        cut = F.when(F.length(first) > 50, F.concat(F.substring(first, 1, 50), L("..."))).otherwise(first)
+        return F.coalesce(clean(heading), underlined_or_named(lines), cut, L("Untitled Document"))
+
+    # Lines are stripped once per row: a lambda's variable is a value.
+    return F.transform(F.array(F.transform(F.split(F.coalesce(text, L("")), "\n"), strip)), chain)[0]
+
+
 def document_numbers(text: Column, domain: Column) -> dict[str, Column]:
     """MD3: counts of a document. Links that name another host are external, all others internal."""
     words = F.size(white_words(text))

@@ -27,6 +27,11 @@ def md1_titles(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("id", metadata.heading_title(F.col("content")).alias("title"))
 
 
+def md1_title_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain of MD1, for every row; md1_titles and its SQL hold its first step alone, which is MD2."""
+    return table(spark, d, "crawled_pages").select("id", metadata.title(F.col("content")).alias("title"))
+
+
 def md3_document_numbers(spark: SparkSession, d: str) -> DataFrame:
     numbers = metadata.document_numbers(F.col("content"), host(F.col("url")))
     rows = _pages(spark, d).select("id", *[c.alias(n) for n, c in numbers.items()])
@@ -102,7 +107,7 @@ def rt13_stored_again(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (src1_url_kinds, md6_md7_addresses, md1_titles, md3_document_numbers, md4_labels, md8_content_types, ch14_sections, qa_markdown_quality, qa_navigation_elements, ag10_quality_report, qb_extraction_check, qc_selector_check, qe4_duplicate_blocks, rt13_stored_again)
+    for f in (src1_url_kinds, md6_md7_addresses, md1_titles, md1_title_chain, md3_document_numbers, md4_labels, md8_content_types, ch14_sections, qa_markdown_quality, qa_navigation_elements, ag10_quality_report, qb_extraction_check, qc_selector_check, qe4_duplicate_blocks, rt13_stored_again)
 }
 
 _ROWS = "(SELECT id, url, content FROM crawled_pages WHERE length(content) > 0)"
