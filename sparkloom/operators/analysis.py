@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,64 @@ def link_categories(text: Column) -> dict[str, Column]:
     }
 
 
+def text_blocks(text: str | None) -> list[str]:
+    """Blocks of at least five words that are neither code nor headers (QE4)."""
+    blocks = [b.strip() for b in (text or "").split("\n\n")]
+    return [b for b in blocks if len(b.split()) >= 5 and not b.startswith(("```", "#"))]
+
+
+def _common(places: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence, one bit for each of the ``size`` characters whose ``places`` are given."""
+    every = (1 << size) - 1
+    left = every
+    for c in other:
+        hit = left & places.get(c, 0)
+        left = ((left + hit) | (left - hit)) & every
+    return size - left.bit_count()
+
+
+def similar_pairs(blocks: list[str], least: float = 0.8) -> int:
+    """How many pairs have a SequenceMatcher ratio of ``least`` or more.
+
+    The matches of a ratio are a common subsequence, so that characters in common (counted in 256 classes) and the
+    longest common subsequence bound it from above: no pair is passed over, few are left to compare.
+    """
+    if len(blocks) < 2:
+        return 0
+    sizes = np.array([len(b) for b in blocks])
+    counts = np.array([np.bincount(np.frombuffer(b.encode("utf-32-le", "replace"), np.uint32) % 256, minlength=256) for b in blocks])
+    n = 0
+    for j in range(1, len(blocks)):
+        later = blocks[j]
+        both = sizes[:j] + sizes[j]
+        near = np.nonzero(2.0 * np.minimum(sizes[:j], sizes[j]) / both >= least)[0]
+        near = near[2.0 * np.minimum(counts[near], counts[j]).sum(1) / both[near] >= least]
+        places: dict[str, int] = {}
+        for i in near.tolist():
+            earlier = blocks[i]
+            if earlier == later:
+                n += 1
+                continue
+            if not places:
+                for k, c in enumerate(later):
+                    places[c] = places.get(c, 0) | 1 << k
+            if 2.0 * _common(places, len(later), earlier) / (len(later) + len(earlier)) >= least:
+                n += SequenceMatcher(None, earlier, later).ratio() >= least
+    return n
+
+
+def duplicate_blocks(text: Column) -> Column:
+    """QE4: ``blocks`` of a text and ``pairs`` of them with a similarity of at least 0.8."""
+
+    @F.pandas_udf("struct<blocks: int, pairs: int>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [text_blocks(t) for t in batch]
+            yield pd.DataFrame({"blocks": pd.Series([len(x) for x in own], dtype="int32"), "pairs": pd.Series([similar_pairs(x) for x in own], dtype="int32")})
+
+    return count(text)
+
+
 def combined_score(base: Column, validation: Column, duplication: Column, links: Column) -> Column:
     """QE6: weighted mean of the parts that are there: 0.4, 0.2, 0.1 (less duplication) and 0.15."""
     parts = [(base, 0.4), (validation, 0.2), (F.when(duplication.isNotNull(), F.greatest(L(0.0), 1.0 - duplication)), 0.1), (links, 0.15)]

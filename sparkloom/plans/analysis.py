@@ -14,6 +14,12 @@ def qe3_link_categories(spark: SparkSession, d: str) -> DataFrame:
     return P._pages(spark, d).select("id", *[c.alias(n) for n, c in analysis.link_categories(F.col("content")).items()])
 
 
+def qe4_similar_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of similar blocks of a page; qe4_duplicate_blocks and its SQL count exact repeats alone."""
+    found = table(spark, d, "crawled_pages").select("id", analysis.duplicate_blocks(F.col("content")).alias("_d"))
+    return found.select("id", "_d.blocks", "_d.pairs")
+
+
 def qe6_combined_scores(spark: SparkSession, d: str) -> DataFrame:
     base = P._qa(spark, d).select("id", F.col("score").alias("base"))
     check = P.qb_extraction_check(spark, d).select("id", F.col("score").alias("validation"))
@@ -40,7 +46,7 @@ def rt10_embedded_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", models.hashed_embedder()(F.col("content")).alias("embedding"))
 
 
-QUERIES = {f.__name__: f for f in (qe3_link_categories, qe6_combined_scores, ag18_regression_summary, ag22_score_entropy, rt10_embedded_texts)}
+QUERIES = {f.__name__: f for f in (qe3_link_categories, qe4_similar_blocks, qe6_combined_scores, ag18_regression_summary, ag22_score_entropy, rt10_embedded_texts)}
 
 _URLS = r"regexp_extract_all(content, '\[([^\]]*)\]\(([^)]*)\)', 2)"
 

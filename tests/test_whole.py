@@ -1,11 +1,14 @@
 """What the registered queries leave to others: checked by brute force, not by SQL."""
 
+import difflib
+import itertools
 import re
 
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from sparkloom.operators import metadata
+from sparkloom.operators import analysis, metadata
+from sparkloom.plans import analysis as analysis_plans
 from sparkloom.plans import pages
 from sparkloom.session import table
 
@@ -42,3 +45,20 @@ def test_title_chain_of_the_table(spark):
     texts = {r["id"]: r["content"] for r in table(spark, SMALL, "crawled_pages").select("id", "content").collect()}
     got = pages.md1_title_chain(spark, SMALL).collect()
     assert len(got) >= len(texts) and all(r["title"] == chain(texts[r["id"]]) for r in got)
+
+
+def test_pairs_of_similar_blocks(spark):
+    a, b = "one two three four five six seven", "one two three four five six eight"
+    cases = [("\n\n".join([a, a, a]), 3, 3), ("\n\n".join([a, b, "quite other words stand in this block"]), 3, 1), ("```\n" + a + "\n```\n\n```\n" + a + "\n```\n\n# " + a + "\n\nfew words", 0, 0), (None, 0, 0), ("", 0, 0)]
+    df = spark.createDataFrame(cases, "t string, blocks int, pairs int")
+    assert all(r["d"] == (r["blocks"], r["pairs"]) for r in df.withColumn("d", analysis.duplicate_blocks(F.col("t"))).collect())
+
+
+def test_pairs_of_similar_blocks_of_the_table(spark):
+    texts = {r["id"]: r["content"] or "" for r in table(spark, SMALL, "crawled_pages").select("id", "content").collect()}
+    got = {r["id"]: (r["blocks"], r["pairs"]) for r in analysis_plans.qe4_similar_blocks(spark, SMALL).collect()}
+    assert got.keys() == texts.keys()
+    for i in sorted(texts)[:40]:
+        own = [x.strip() for x in texts[i].split("\n\n")]
+        own = [x for x in own if len(x.split()) >= 5 and x[0] != "#" and x[:3] != "```"]
+        assert got[i] == (len(own), sum(difflib.SequenceMatcher(None, x, y).ratio() >= 0.8 for x, y in itertools.combinations(own, 2)))
