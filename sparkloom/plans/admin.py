@@ -72,10 +72,15 @@ def jn3_source_page_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def jn4_two_way_fanout(spark: SparkSession, d: str) -> DataFrame:
     """Pages and code per source; each side is counted before the join, so they do not multiply."""
+    return jn4_all_sources(spark, d).filter(F.col("source_id").between(1, 100))
+
+
+def jn4_all_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every source; jn4_two_way_fanout and its SQL hold the ids 1 to 100."""
     pages, sources, code = _t(spark, d)
     p = pages.groupBy("source_id").agg(F.count("id").alias("n_pages"))
     c = code.groupBy("source_id").agg(F.count("id").alias("n_code"))
-    joined = sources.filter(F.col("source_id").between(1, 100)).join(p, "source_id", "left").join(c, "source_id", "left")
+    joined = sources.join(p, "source_id", "left").join(c, "source_id", "left")
     return joined.select("source_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("n_code", F.lit(0)).alias("n_code"))
 
 
@@ -198,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snk1_replace_by_url, snk2_insert_code, snk3_get_or_create_source, snk4_upsert_source_totals, snk5_fill_source_ids, snk6_rollback_source_ids, snk7_delete_prefix, snk8_delete_cascade,
-        jn3_source_page_counts, jn4_two_way_fanout, jn5_sample_matches, jn6_orphan_pages, jn7_sources_with_code, flt1_metadata_contains, flt2_json_text, flt5_like, flt9_exists_checks, flt10_coverage_bands,
+        jn3_source_page_counts, jn4_two_way_fanout, jn4_all_sources, jn5_sample_matches, jn6_orphan_pages, jn7_sources_with_code, flt1_metadata_contains, flt2_json_text, flt5_like, flt9_exists_checks, flt10_coverage_bands,
         ag1_null_counts, ag3_distinct_filtered, ag5_grouped_bands, ag7_available_sources, ag8_domain_distribution, ag9_corpus_stats, ag20_storage, set1_union_summary, set2_urls_without_code,
         tk2_largest_sources, tk6_page_of_rows,
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import analysis, metadata
 from sparkloom.plans import analysis as analysis_plans
-from sparkloom.plans import pages
+from sparkloom.plans import admin, pages
 from sparkloom.session import table
 
 
@@ -62,3 +62,9 @@ def test_pairs_of_similar_blocks_of_the_table(spark):
         own = [x.strip() for x in texts[i].split("\n\n")]
         own = [x for x in own if len(x.split()) >= 5 and x[0] != "#" and x[:3] != "```"]
         assert got[i] == (len(own), sum(difflib.SequenceMatcher(None, x, y).ratio() >= 0.8 for x, y in itertools.combinations(own, 2)))
+
+
+def test_fanout_of_every_source(spark, tmp_path):
+    for name, data, kinds in [("sources", [(1,), (101,), (1386,)], "source_id int"), ("crawled_pages", [(1, 101), (2, 101), (3, None)], "id int, source_id int"), ("code_examples", [(1, 101), (2, 1), (3, 1386)], "id int, source_id int")]:
+        spark.createDataFrame(data, kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert sorted(tuple(r) for r in admin.jn4_all_sources(spark, str(tmp_path)).collect()) == [(1, 0, 1), (101, 2, 1), (1386, 0, 1)]
