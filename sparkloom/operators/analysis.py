@@ -1,4 +1,4 @@
-"""Link categories, combined scores, regression summaries, topics (QE1-QE8, AG18, AG22)."""
+"""Link categories, combined scores, regression summaries, statistics of pairs (QE2-QE4, QE6, QE7, AG18, AG22, AG23)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 L = F.lit
 
@@ -103,7 +104,63 @@ def regression_summary(compared: DataFrame, similarity: str = "similarity") -> D
 
 
 def entropy_of_bins(df: DataFrame, group: str, value: str) -> DataFrame:
-    """AG22: entropy in bits of a value's three bins (up to 0.3, to 0.6, above) per group; nulls in no bin."""
+    """Entropy in bits of a value's three bins (up to 0.3, to 0.6, above) per group; nulls in no bin. AG22 is that of pairs: ``pair_statistics``."""
     bins = df.filter(F.col(value).isNotNull()).groupBy(group, F.when(F.col(value) <= 0.3, 0).when(F.col(value) <= 0.6, 1).otherwise(2).alias("_b")).agg(F.count(L(1)).alias("_n"))
     total = bins.groupBy(group).agg(F.sum("_n").alias("_t"), F.collect_list("_n").alias("_ns"))
     return total.select(group, F.round(F.aggregate("_ns", L(0.0), lambda a, n: a - (n / F.col("_t")) * F.log2(n / F.col("_t"))), 6).alias("entropy"))
+
+
+def pair_statistics(df: DataFrame, group: str, order: str, vector: str, block: int = 1024) -> DataFrame:
+    """QE2, AG22, AG23: the cosines of all pairs of a group's vectors.
+
+    ``n, avg, min, max, variance`` of the pairs, ``entropy`` in bits of their bins (up to 0.3, to 0.7, above), and
+    ``topics``: vectors to which no earlier one has a cosine over 0.5. Vectors of length 0 have a cosine of 0. A group of
+    one vector has no pairs: null statistics, no entropy, one topic. Null groups and null vectors are left out.
+
+    Vectors are compared in blocks of ``block`` against ``block``, so no task holds a group; the work grows with the
+    square of a group.
+    """
+    rows = df.filter(F.col(group).isNotNull() & F.col(vector).isNotNull()).select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(vector).cast("array<double>").alias("_v"))
+    placed = rows.withColumn("_i", F.row_number().over(W.partitionBy("_g").orderBy("_o")) - 1)
+    packed = placed.groupBy("_g", F.floor(F.col("_i") / block).cast("int").alias("_b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_m"))
+    left = packed.select("_g", F.col("_b").alias("_a"), F.col("_m").alias("_l"))
+    both = packed.join(left, "_g").filter("_a <= _b")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def unit(rows: object) -> np.ndarray:
+            m = np.stack([np.asarray(r, float) for r in rows])
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            return m / np.where(size == 0, 1.0, size)
+
+        for batch in batches:
+            out = []
+            for g, a, b, earlier, later in zip(batch["_g"], batch["_a"], batch["_b"], batch["_l"], batch["_m"]):
+                cosines = unit(later) @ unit(earlier).T
+                held = np.tri(*cosines.shape, -1, dtype=bool) if a == b else np.ones(cosines.shape, bool)
+                near = np.nonzero(((cosines > 0.5) & held).any(1))[0].astype(np.int32)
+                c = cosines[held]
+                bins = [int((c <= 0.3).sum()), int(((c > 0.3) & (c <= 0.7)).sum()), int((c > 0.7).sum())]
+                mean = float(c.mean()) if len(c) else 0.0
+                out.append((g, b, len(later), len(c), mean, float(((c - mean) ** 2).sum()), float(c.min()) if len(c) else None, float(c.max()) if len(c) else None, *bins, near))
+            yield pd.DataFrame(out, columns=["_g", "_b", "_n", "_k", "_mean", "_ss", "_lo", "_hi", "_x", "_y", "_z", "_near"])
+
+    kind = dict(rows.dtypes)["_g"]
+    parts = both.mapInPandas(compare, f"_g {kind}, _b int, _n long, _k long, _mean double, _ss double, _lo double, _hi double, _x long, _y long, _z long, _near array<int>")
+    per_block = parts.groupBy("_g", "_b").agg(
+        F.max("_n").alias("_n"), F.size(F.array_distinct(F.flatten(F.collect_list("_near")))).alias("_old"), F.collect_list(F.struct("_k", "_mean", "_ss")).alias("_p"),
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.sum(c).alias(c) for c in ("_x", "_y", "_z")],
+    )
+    total = per_block.groupBy("_g").agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_n") - F.col("_old")).alias("topics"), F.flatten(F.collect_list("_p")).alias("_p"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+        *[F.sum(c).alias(c) for c in ("_x", "_y", "_z")],
+    )
+    add = lambda f: F.aggregate("_p", L(0.0), lambda s, p: s + f(p))
+    k = F.col("_x") + F.col("_y") + F.col("_z")
+    total = total.withColumn("_k", k).withColumn("_avg", F.try_divide(add(lambda p: p["_k"] * p["_mean"]), F.col("_k")))
+    # The spread within the parts and that of their means.
+    total = total.withColumn("_var", F.try_divide(add(lambda p: p["_ss"] + p["_k"] * (p["_mean"] - F.col("_avg")) * (p["_mean"] - F.col("_avg"))), F.col("_k")))
+    share = lambda c: F.when(F.col(c) > 0, -(F.col(c) / F.col("_k")) * F.log2(F.col(c) / F.col("_k"))).otherwise(0.0)
+    return total.select(
+        F.col("_g").alias(group), "n", F.round("_avg", 6).alias("avg"), F.round("_lo", 6).alias("min"), F.round("_hi", 6).alias("max"), F.round("_var", 6).alias("variance"),
+        F.round(share("_x") + share("_y") + share("_z"), 6).alias("entropy"), "topics",
+    )

@@ -35,18 +35,23 @@ def ag18_regression_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ag22_score_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """How mixed the content ratios of a source's pages are."""
+    """How mixed the content ratios of a source's pages are; not AG22, which qe2_pair_statistics has."""
     rows = table(spark, d, "crawled_pages").filter((F.length("content") > 0) & F.col("source_id").isNotNull())
     ratio = quality.markdown_quality(F.col("content"))["content_ratio"]
     return analysis.entropy_of_bins(rows.select("source_id", ratio.alias("ratio")), "source_id", "ratio")
 
 
+def qe2_pair_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """QE2 with AG22 and AG23 over the vectors of a label; qe2_coherence and its SQL have the average alone, and ag22_score_entropy is a statistic of rows."""
+    return analysis.pair_statistics(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+
+
 def rt10_embedded_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "crawled_pages")
     return rows.select("id", models.hashed_embedder()(F.col("content")).alias("embedding"))
 
 
-QUERIES = {f.__name__: f for f in (qe3_link_categories, qe4_similar_blocks, qe6_combined_scores, ag18_regression_summary, ag22_score_entropy, rt10_embedded_texts)}
+QUERIES = {f.__name__: f for f in (qe3_link_categories, qe4_similar_blocks, qe6_combined_scores, ag18_regression_summary, ag22_score_entropy, qe2_pair_statistics, rt10_embedded_texts)}
 
 _URLS = r"regexp_extract_all(content, '\[([^\]]*)\]\(([^)]*)\)', 2)"
 

@@ -4,6 +4,7 @@ import difflib
 import itertools
 import re
 
+import numpy as np
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -68,3 +69,29 @@ def test_fanout_of_every_source(spark, tmp_path):
     for name, data, kinds in [("sources", [(1,), (101,), (1386,)], "source_id int"), ("crawled_pages", [(1, 101), (2, 101), (3, None)], "id int, source_id int"), ("code_examples", [(1, 101), (2, 1), (3, 1386)], "id int, source_id int")]:
         spark.createDataFrame(data, kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert sorted(tuple(r) for r in admin.jn4_all_sources(spark, str(tmp_path)).collect()) == [(1, 0, 1), (101, 2, 1), (1386, 0, 1)]
+
+
+def pair_numbers(vectors):
+    """QE2, AG22 and AG23 pair by pair."""
+    c = [[float(np.dot(a, b) / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1)) for a in vectors[:j]] for j, b in enumerate(vectors)]
+    every = [x for row in c for x in row]
+    topics = sum(not any(x > 0.5 for x in row) for row in c)
+    if not every:
+        return None, None, None, None, 0.0, topics
+    bins = np.bincount([(x > 0.3) + (x > 0.7) for x in every])
+    p = bins[bins > 0] / len(every)
+    return np.mean(every), min(every), max(every), np.var(every), float(-(p * np.log2(p)).sum()), topics
+
+
+def test_pair_statistics(spark):
+    r = np.random.default_rng(1)
+    groups = {1: r.normal(size=(23, 4)), 2: r.normal(size=(1, 4)), 3: np.vstack([np.zeros((1, 4)), r.normal(size=(6, 4)) + 1])}
+    data = [(g, i, v.tolist()) for g, m in groups.items() for i, v in enumerate(m)] + [(1, 99, None), (None, 1, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "g int, i int, v array<double>").repartition(3)
+    for block in (4, 1024):  # several blocks a group, and one
+        got = {x["g"]: x for x in analysis.pair_statistics(df, "g", "i", "v", block).collect()}
+        assert got.keys() == groups.keys()
+        for g, m in groups.items():
+            assert got[g]["n"] == len(m)
+            for a, b in zip(tuple(got[g])[2:], pair_numbers(m)):
+                assert a is b is None or abs(a - b) < 2e-6, (g, block)
