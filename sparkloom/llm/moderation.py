@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import linear, sampling
-from sparkloom.llm.residue import outside_code
+from sparkloom.llm.residue import inside_code, outside_code
 
 #: Hashed features; lengths of n-grams; documents whose passages join the harmless side; score from which such a passage does not;
 #: score from which a document is a case.
@@ -63,10 +63,55 @@ def readings(text: str) -> list[str]:
 _WRAP = re.compile(r"(?<=[^\s.!?…。！？:;])[ \t\r]*\n(?=[ \t]*[^\s#*+>|=\-\d])")
 
 
+#: What code says in words: doc strings, comments and strings.
+_SAID = re.compile(r"""\"{3}(.+?)\"{3}|/\*(.+?)\*/|<!--(.+?)-->|(?:(?<!\S)(?:\#+|--|;+|%+)|(?<!:)//+)[ \t]*([^\n]+)|"([^"\n]+)"|'([^'\n]+)'""", re.S)
+
+
+_NAME = re.compile(r"\S*[^\W\d_]{2,}_[^\W\d_]{2,}\S*")
+
+
+def _enough(passage: str) -> bool:
+    return len(_LETTERS.findall(passage)) >= 3 or len(passage) > 12 and not passage.isascii()
+
+
+def _joined(sentences: list[str], before: str = "") -> list[str]:
+    """The sentences of three words or more, and shorter ones joined to each other, or else to the sentence before them."""
+    out, short = [], ""
+    for s in sentences:
+        if not _enough(s):
+            # A name with an underscore says nothing by itself.
+            short = f"{short} {s}".strip() if any(map(str.isalpha, s)) and not _NAME.search(s) else short
+            if not _enough(short):
+                continue
+            s, short = short, ""
+        elif short:
+            out.append(f"{before or short} {short if before else s}")
+            short = ""
+        out.append(s)
+        before = s
+    if short:
+        out.append(f"{before} {short}".strip())
+    return out
+
+
+def sentences(text: str) -> list[str]:
+    """What is trained on: sentences and lines outside code and tables, of three words or more; wrapped lines are joined."""
+    return [p.strip() for p in _CUT.split(_WRAP.sub(" ", outside_code(text))) if not p.startswith("|") and _enough(p)]
+
+
 def passages(text: str) -> list[str]:
-    """Sentences and lines outside code; wrapped lines are joined. Those of less than three words, and rows of tables, say nothing."""
-    own = _WRAP.sub(" ", outside_code(text))
-    return [p.strip() for p in _CUT.split(own) if not p.startswith("|") and (len(_LETTERS.findall(p)) >= 3 or len(p) > 12 and not p.isascii())]
+    """What is scored: sentences and lines outside code, cells of tables, and what code says: comments, strings and inline code. Single names in code say nothing."""
+    lines, out = [], []
+    for p in _CUT.split(_WRAP.sub(" ", outside_code(text))):
+        if p.startswith("|"):
+            out += _joined([cell.strip() for cell in p.split("|")], next(filter(_enough, reversed(lines)), ""))
+        else:
+            lines.append(p.strip())
+    blocks, inline = inside_code(text)
+    said = [[s for m in _SAID.finditer(block) for s in _CUT.split(m.group(m.lastindex))] for block in blocks] + [inline]
+    for parts in said:
+        out += _joined([s.strip() for s in parts if len(s.split()) > 1], next(filter(_enough, reversed(lines)), ""))
+    return _joined(lines) + out
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -153,7 +198,7 @@ def train(samples: list[tuple[str, str]], background: list[str]) -> Model:
     """From (text, category) with ``none`` for harmless ones, and harmless or unknown texts."""
     parts, y, of = [], [], []
     for i, (text, category) in enumerate(samples):
-        for p in passages(text or ""):
+        for p in sentences(text or ""):
             parts.append(readings(p)[-1])
             y.append(int((category or "none") != "none"))
             of.append(i)
@@ -165,7 +210,7 @@ def train(samples: list[tuple[str, str]], background: list[str]) -> Model:
     for i in np.unique(of_[labels > 0]):  # the worst sentence of a labelled text is the one that was meant
         own = np.nonzero(of_ == i)[0]
         labels[own] = (scores[own] >= scores[own].max()).astype(float)
-    more = list(dict.fromkeys(readings(p)[-1] for t in background for p in passages(t)))
+    more = list(dict.fromkeys(readings(p)[-1] for t in background for p in sentences(t)))
     all_rows = [features(p) for p in more]
     # Each half is judged by a fit that has the other half on the harmless side: what then looks like the labelled
     # side is what documents are searched for, and stays out.

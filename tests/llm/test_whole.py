@@ -1,6 +1,6 @@
 """Parts of a text or table that were passed over before."""
 
-from sparkloom.llm import layout, residue
+from sparkloom.llm import layout, moderation, residue
 
 
 def test_lines_after_a_fence_that_is_never_closed_are_labelled():
@@ -12,3 +12,22 @@ def test_text_after_a_fence_that_is_never_closed_is_outside_code():
     assert residue.outside_code("a\n```\nx\n```\nb\n```\nc\n").split() == ["a", "b", "c"]
     assert residue.outside_code("a\n~~~\nc").split() == ["a", "c"]
     assert residue.evidence("Some words.\n```\nMore words.\n\nTBD") == "unwritten"
+
+
+def test_short_sentences_cells_and_code_are_scored():
+    assert moderation.passages("You idiot!") == ["You idiot!"]
+    assert moderation.passages("The report is ready now. You idiot!") == ["The report is ready now.", "The report is ready now. You idiot!"]
+    assert moderation.passages("Oh. You idiot!") == ["Oh. You idiot!"]
+    assert moderation.passages("| a | you stupid idiot |\n|---|---|") == ["a you stupid idiot", "you stupid idiot"]
+    assert moderation.passages("```py\nx = 'some rude words'  # you stupid idiot\n```\nSee `what an idiot` there now.") == ["See   there now.", "some rude words", "you stupid idiot", "what an idiot"]
+    text = "One two three four. And five six seven."
+    assert moderation.passages(text) == moderation.sentences(text) == ["One two three four.", "And five six seven."]
+
+
+def test_short_insults_reach_the_bar():
+    bad = [f"You {a} {b}, go away." for a in ("stupid", "useless", "worthless") for b in ("idiot", "moron", "idiot fool")]
+    good = ["You can change the limit here.", "The service keeps a record.", "Go to the settings and look.", "A line is written to the log.", "The oldest one is removed.", "You may read the manual first."]
+    model = moderation.train([(t, "insult") for t in bad * 2] + [(t, "none") for t in good * 3], [])
+    for text in ("You idiot!", "| a | stupid idiot |", "```\n# you stupid idiot\n```"):
+        assert model.document(text) >= moderation.BAR, text
+    assert model.document("The log. | Limit |") < moderation.BAR
