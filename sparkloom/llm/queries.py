@@ -20,10 +20,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_column(pages, "id", "content").filter("chunk_number = 1").select("id").distinct()
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces themselves."""
+    return pieces.split_column(table(spark, d, "crawled_pages"), "id", "content")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.find_repeated(table(spark, d, "crawled_pages"))
 
 
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every row without its repeated lines."""
+    return lines.remove_repeated(table(spark, d, "crawled_pages")).select("id", "source_id", "content")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages, code = table(spark, d, "crawled_pages"), table(spark, d, "code_examples")
     both = pages.select(F.concat(F.lit("p"), "id").alias("key"), "embedding").union(code.select(F.concat(F.lit("c"), "id").alias("key"), "embedding"))
@@ -35,6 +45,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(pages, "id", "content", width=3, threshold=0.6, min_words=30).select("id_a", "id_b")
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of near-duplicates: each member with the smallest of its group."""
+    return neardup.groups(p4_found(spark, d), "id_a", "id_b")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return tokens.encode_column(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
@@ -53,6 +68,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return layout.site_lines(table(spark, d, "crawled_pages"))
 
 
+def p6_body(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's own text."""
+    return layout.main_text(table(spark, d, "crawled_pages")).select("id", "body")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.find_not_prose(table(spark, d, "crawled_pages"))
 
@@ -74,7 +94,7 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_source_words, p8_ids, p9_found, p10_found, p10_source_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p6_found, p6_body, p7_found, p7_source_words, p8_ids, p9_found, p10_found, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,7 @@
 """Parts of a text or table that were passed over before."""
 
-from sparkloom.llm import layout, moderation, residue
+from sparkloom.llm import layout, moderation, queries, residue
+from sparkloom.session import table
 
 
 def test_lines_after_a_fence_that_is_never_closed_are_labelled():
@@ -31,3 +32,14 @@ def test_short_insults_reach_the_bar():
     for text in ("You idiot!", "| a | stupid idiot |", "```\n# you stupid idiot\n```"):
         assert model.document(text) >= moderation.BAR, text
     assert model.document("The log. | Limit |") < moderation.BAR
+
+
+def test_whole_results_of_problems_1_2_4_and_6(spark):
+    small = "/root/testdata/sf0.001"
+    got = {n: queries.queries()[n](spark, small).collect() for n in ("p1_found", "p1_pieces", "p2_clean", "p4_found", "p4_groups", "p6_body")}
+    texts = {r["id"]: r["content"] for r in table(spark, small, "crawled_pages").select("id", "content").collect()}
+    assert {r["id"] for r in got["p1_pieces"]} == {r["id"] for r in got["p1_found"]}
+    assert all(r["content"] == texts[r["id"]][r["start"] : r["start"] + len(r["content"])] and len(r["content"]) <= 5000 for r in got["p1_pieces"])
+    assert {r["member"] for r in got["p4_groups"]} == {x for r in got["p4_found"] for x in r}
+    for n in ("p2_clean", "p6_body"):
+        assert len(got[n]) == table(spark, small, "crawled_pages").count()
