@@ -5,7 +5,7 @@ import itertools
 import re
 
 import numpy as np
-from conftest import SMALL
+from oracle import SMALL
 from pyspark.sql import functions as F
 
 from sparkloom.operators import analysis, metadata
