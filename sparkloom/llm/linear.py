@@ -13,6 +13,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, dim: int, l2: float = 1.0, r
     cols = np.concatenate(rows).astype(np.int64) if n else np.empty(0, np.int64)
     of = np.repeat(np.arange(n), [len(r) for r in rows])
     val = np.concatenate(values) if values is not None else np.ones(len(cols))
+    return fit_flat(cols, of, val, y, weight, dim, l2, rounds)
+
+
+def fit_flat(cols: np.ndarray, of: np.ndarray, val: np.ndarray, y: np.ndarray, weight: np.ndarray, dim: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+    """The same on flat arrays: feature, example and value of each entry; label and weight of each example."""
+    n = len(y)
     w, b = np.zeros(dim), 0.0
     m, v, mb, vb = np.zeros(dim), np.zeros(dim), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the full batch

@@ -89,17 +89,6 @@ def outside_code(text: str) -> str:
     return _INLINE.sub(" ", text) if "`" in text else text
 
 
-def inside_code(text: str) -> tuple[list[str], list[str]]:
-    """What ``outside_code`` leaves out: the code blocks, and the inline code."""
-    if "`" not in text and "~~~" not in text:
-        return [], []
-    marks = list(_FENCE.finditer(text))
-    blocks = [text[a.end() : b.start()] for a, b in zip(marks[::2], marks[1::2])]
-    ends = [0] + [m.end() for m in marks[1::2]] + ([marks[-1].end()] if len(marks) % 2 else [])
-    rest = [text[a:b] for a, b in zip(ends, [m.start() for m in marks[::2]] + [len(text)])]
-    return blocks, [m.group().strip("`") for m in _INLINE.finditer("\n".join(rest))]
-
-
 def evidence(text: str | None) -> str | None:
     """What shows that a text is residue: placeholder, dummy, unwritten, error or script; None if nothing does."""
     if not text or not text.strip():

@@ -1,9 +1,5 @@
-import os
-
 import pytest
 
-TOKENIZERS = os.environ.get("SPARKLOOM_TOKENIZERS", "/opt/tokenizers")
-
 
 @pytest.fixture
 def words():

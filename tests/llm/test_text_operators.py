@@ -1,15 +1,16 @@
 """Problems 5 to 10."""
 
+import os
 import re
 
 import pytest
-from conftest import TOKENIZERS
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.llm import layout, linear, moderation, overlap, quality, residue, tokens
 
+TOKENIZERS = os.environ.get("SPARKLOOM_TOKENIZERS", "/opt/tokenizers")
 PROSE = "The service keeps a record of every session. When the limit is reached, the oldest one is removed and a line is written to the log.\n\nYou can change this limit in the settings, but it is not needed often."
 
 
@@ -172,7 +173,7 @@ def test_leaks_against_brute_force(spark, words):
 
 
 def test_readings_undo_disguises():
-    assert any("stupid idiot" in r for r in moderation.readings("You 57up1d 1d10t"))
+    assert any("stupid idiot" in r for r in moderation.readings("you 57up1d 1d10t"))
     assert any("idiot" in r for r in moderation.readings("such an i d i o t!")) and any("moron" in r for r in moderation.readings("a m.o.r.o.n"))
     assert any("clown" in r for r in moderation.readings("CLLLLOWN".replace("LLLL", "LLL").lower() + " cllllown"))
 
@@ -182,11 +183,11 @@ SAMPLES = [(f"You are a {w} and everybody knows it.", "abuse") for w in "stupid
 
 def test_moderation(spark):
     docs = [(i, "s1" if i % 2 else None, f"The {i} report is ready. It can be opened by the reader at any time.") for i in range(60)]
-    docs += [(100, "s1", "Thanks for the help.\nYou are a lazy idiot and everybody knows it."), (101, "s1", "You are a 57up1d m0r0n and everybody knows it."), (102, None, None), (103, "s1", ""), (104, "s1", "```\nidiot\n```")]
+    docs += [(100, "s1", "Thanks for the help.\nYou are a lazy idiot and everybody knows it."), (101, "s1", "You are a 57up1d m0r0n and everybody knows it."), (102, None, None), (103, "s1", ""), (104, "s1", "```\nx = 1\n```")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("category", F.lit("x"))
     scored = moderation.score_documents(df, spark.createDataFrame(SAMPLES + [(None, "abuse"), ("", None)], "text string, category string")).cache()
     score = {r["doc_id"]: r["score"] for r in scored.collect()}
-    assert {k for k, v in score.items() if v >= 0.5} == {100, 101} and score[102] == 0 == score[103]
+    assert {k for k, v in score.items() if v >= moderation.BAR} == {100, 101} and score[102] == 0 == score[103]
     rates = {r["source"]: (r["n_docs"], r["n_cases"]) for r in moderation.source_rates(scored).collect()}
     assert rates == {"s1": (34, 2), None: (31, 0)}
     scored.unpersist()
@@ -199,7 +200,7 @@ def test_held_out_accuracy():
     rows = duckdb.sql("SELECT text, category FROM '/root/testdata/sf0.01/moderation_samples.parquet' ORDER BY sample_id").fetchall()
     model = moderation.train([r for i, r in enumerate(rows) if i % 3], [])
     held = [r for i, r in enumerate(rows) if i % 3 == 0]
-    right = sum((model.document(t) >= 0.5) == (c != "none") for t, c in held)
+    right = sum((z >= moderation.BAR) == (c != "none") for z, (_, c) in zip(model.documents([t for t, _ in held]), held))
     assert right >= 0.93 * len(held)
 
 
