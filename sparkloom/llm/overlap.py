@@ -2,15 +2,18 @@
 
 Words are runs of letters and digits in lower case. Every window of ``run`` words of an item is represented by the one
 of its ``seed`` -grams that is rarest in the corpus, so a document holding the window holds that seed: rare n-gram
-seeds lose no passage of ``run`` words, and common phrases start no alignment. Documents meeting a seed are aligned
-with the item by Smith-Waterman over words, which scores edited copies too; the longest exact run is taken from the
-same pairs.
-
-The items are a bounded query set; their words go to the workers in blocks of at most ``block_items``. The corpus is
-scanned as hashes of seeds inside Arrow batches; only matches leave the scan.
-
-Null and empty texts hold nothing. Items of fewer than ``run`` words are never reported. Repeated rows are reported
-once per key.
+seeds lose no passage of ``run`` words, and common phrases start no alignment. Documents are joined with items on the
+hash of the seed and aligned by Smith-Waterman over words around the seeds they share; a passage of ``run`` words scores
+at least twice ``run``, edited and paraphrased copies less of the item's own score. The longest exact run is taken from
+the same stretches.
+
+The corpus is read once for any number of items: a bitmap of their seeds' hashes, of at most ``BITS`` bits, goes to the
+workers, and only seeds that it knows leave the scan; what it lets through by chance falls out in the join. Texts are
+read again for the documents of a pair alone: pairs are broadcast with their items' texts up to ``SENT_PAIRS`` and joined
+beyond.
+
+Null and empty texts hold nothing. Items of fewer than ``run`` words, and null keys, are never reported. Repeated rows
+are reported once per key, with the best of their texts.
 """
 
 from __future__ import annotations
@@ -22,28 +25,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from sparkloom.llm.neardup import shingle_hashes, word_hashes
 from sparkloom.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+")
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Largest bitmap of seeds, in bits (16 MB), and bits for each seed below it; pairs of keys that are broadcast.
+BITS, BITS_A_SEED, SENT_PAIRS = 1 << 27, 32, 50_000
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of n word numbers."""
-    if len(ids) < n:
-        return np.empty(0, np.uint64)
-    h = np.zeros(len(ids) - n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = (h ^ ids[k : len(ids) - n + 1 + k].astype(np.uint64)) * _MULT
-            h ^= h >> np.uint64(29)
-    return h
+def seeds_of(text: str, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``seed`` words, in order."""
+    return shingle_hashes(word_hashes(text), seed).view(np.int64)
 
 
 def align(a: list, b: list, match: int = 2, miss: int = -1, gap: int = -1) -> int:
@@ -82,95 +79,100 @@ def longest_run(a: list, b: list) -> int:
     return best
 
 
-def _seeded(docs: DataFrame, key: str, text: str, kinds: str, items: list[tuple], run: int, seed: int) -> DataFrame:
-    """``key, item, seed, words``: each document that holds a seed of an item, with the words around it."""
-    vocabulary: dict[str, int] = {}
-    wanted: dict[int, set] = {}
-    for item, own in items:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in own])
-        for h in gram_hashes(ids, seed):
-            wanted.setdefault(int(h), set()).add(item)
-    pairs = sorted((h, i) for h, own in wanted.items() for i in own)
-    keys, owners = np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
-    broadcast = docs.sparkSession.sparkContext.broadcast((vocabulary, keys, owners))
+def stretches(own: np.ndarray, hits: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Where a document (seeds ``own``) may hold an item (seeds ``hits``, ``width`` words): twice its words around each shared seed, joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for at in np.nonzero(np.isin(own, hits))[0]:
+        lo, hi = max(0, int(at) - 2 * width), int(at) + 3 * width
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, hashes, of = broadcast.value
-        get = number.get
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of ``_seed``; its size goes with their number, up to ``BITS``."""
+    n = max(1, seeds.count())
+    bits = min(BITS, 1 << int(np.ceil(np.log2(n * BITS_A_SEED))))
+    place = F.col("_seed").bitwiseAND(F.lit(bits - 1))
+    words = seeds.groupBy(F.shiftrightunsigned(place, 5).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_seed & 31 AS INT))")).alias("w")).toPandas()
+    out = np.zeros(max(1, bits // 32), np.uint32)
+    out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _item_seeds(items: DataFrame, kind: str, run: int, seed: int) -> DataFrame:
+    """``_item, _at, _seed``: the seeds of every window of ``run`` words."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {"_key": [], "_item": [], "_seed": []}
-            for k, t in zip(batch["_key"], batch["_text"]):
-                own = words_of(t)
-                if len(own) < seed:
-                    continue
-                ids = np.fromiter((get(w, 0) for w in own), np.int64, len(own))
-                h = gram_hashes(ids, seed)
-                if not np.count_nonzero(ids) >= seed:
-                    continue
-                lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                met = {(int(of[j]), int(h[i]) - (1 << 63)) for i in np.nonzero(hi > lo)[0] for j in range(lo[i], hi[i])}
-                for i, s in met:
-                    out["_key"].append(k)
-                    out["_item"].append(i)
-                    out["_seed"].append(s)
+            out: dict[str, list] = {"_item": [], "_at": [], "_seed": []}
+            for item, text in zip(batch["_item"], batch["_text"]):
+                h = seeds_of(text, seed)
+                inside = run - seed + 1
+                for at in range(len(h) - inside + 1):
+                    out["_item"] += [item] * inside
+                    out["_at"] += [at] * inside
+                    out["_seed"] += h[at : at + inside].tolist()
             yield pd.DataFrame(out)
 
-    source = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return source.mapInPandas(scan, f"_key {kinds}, _item long, _seed long")
+    return items.mapInPandas(cut, f"_item {kind}, _at int, _seed long")
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    run: int = 13, seed: int = 6, block_items: int = 2_000,
+    run: int = 13, seed: int = 6,
 ) -> DataFrame:
-    """``key, item, run_words, score, share``: documents and the items of which they hold a seed of every window's kind.
+    """``key, item, run_words, score, share``: documents and the items of which they hold a window's seed.
 
-    ``run_words``: the longest exact run; ``score``: Smith-Waterman (2 for a word, -1 for a change or gap); ``share``:
-    the score against that of the whole item. Pairs with a run below ``run`` are edited or partial copies.
+    ``score``: Smith-Waterman (2 for a word, -1 for a change or gap); ``share``: the score against that of the whole item;
+    ``run_words``: the longest exact run.
     """
-    spark = docs.sparkSession
-    kinds = dict(docs.dtypes)[key]
-    rows = [(r[0], words_of(r[1])) for r in items.select(item, item_text).dropDuplicates([item]).toLocalIterator() if r[0] is not None]
-    rows = [r for r in rows if len(r[1]) >= run]
-    out = None
-    for at in range(0, max(1, len(rows)), block_items):
-        part = _leaks_of(docs, rows[at : at + block_items], key, text, kinds, item, run, seed)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"{key} {kinds}, {item} long, run_words int, score int, share double")
-
-
-def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, kinds: str, item: str, run: int, seed: int) -> DataFrame:
-    spark = docs.sparkSession
-    met = cut_lineage(_seeded(docs, key, text, kinds, rows, run, seed))  # the matches alone: the corpus is read once for them
-    # How many documents hold a seed decides which seed stands for a window.
-    frequency = met.select("_key", "_seed").distinct().groupBy("_seed").agg(F.count(F.lit(1)).alias("_df"))
-    number: dict[str, int] = {}
-    windows = []
-    for i, own in rows:
-        ids = np.array([number.setdefault(w, len(number) + 1) for w in own])
-        h = [int(x) - (1 << 63) for x in gram_hashes(ids, seed)]
-        for at in range(len(own) - run + 1):
-            windows += [(i, at, s) for s in h[at : at + run - seed + 1]]
-    grid = pd.DataFrame(windows, columns=["_item", "_at", "_seed"]).astype("int64")
-    windowed = spark.createDataFrame(grid, "_item long, _at long, _seed long")
-    first = W.partitionBy("_item", "_at").orderBy(F.coalesce("_df", F.lit(0)), "_seed")
-    rare = (
-        windowed.join(frequency, "_seed", "left").withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("_item", "_seed").distinct()
-    )
-    pairs = met.join(rare, ["_item", "_seed"], "left_semi").select("_key", "_item").distinct()
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    by_item = spark.sparkContext.broadcast(dict(rows))
+    kinds, kind = dict(docs.dtypes)[key], dict(items.dtypes)[item]
+    held = items.filter(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).distinct()
+    windows = cut_lineage(_item_seeds(held, kind, run, seed))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(windows.select("_seed").distinct()))
+    texts = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        last = len(bits) * 32 - 1
+        for batch in batches:
+            keys, found = [], []
+            for k, t in zip(batch["_key"], batch["_text"]):
+                h = seeds_of(t, seed)
+                if len(h):
+                    place = h & last
+                    met = np.unique(h[(bits[place >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1])
+                    keys += [k] * len(met)
+                    found += met.tolist()
+            yield pd.DataFrame({"_key": pd.Series(keys, dtype=batch["_key"].dtype), "_seed": pd.Series(found, dtype="int64")})
+
+    # Only seeds that an item has go on; how many documents hold one decides which seed stands for a window.
+    met = cut_lineage(texts.mapInPandas(scan, f"_key {kinds}, _seed long").join(windows.select("_seed").distinct(), "_seed", "left_semi").distinct())
+    frequency = met.groupBy("_seed").agg(F.count(F.lit(1)).alias("_df"))
+    # Seeds that stand in no document are passed over: a window that a document holds has none, an edited one may.
+    rare = windows.join(frequency, "_seed").groupBy("_item", "_at").agg(F.min(F.struct("_df", "_seed"))["_seed"].alias("_seed")).select("_item", "_seed").distinct()
+    pairs = cut_lineage(met.join(rare, "_seed").select("_key", "_item").distinct())
+    return _judged(pairs, texts, held, kinds, kind, key, item, seed)
+
+
+def _judged(pairs: DataFrame, texts: DataFrame, held: DataFrame, kinds: str, kind: str, key: str, item: str, seed: int) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = by_item.value
         for batch in batches:
             out = []
-            for k, i, t in zip(batch["_key"], batch["_item"], batch["_text"]):
-                a, b = own[i], words_of(t)
-                score = align(a, b)
-                out.append((k, i, longest_run(a, b), score, score / (2.0 * len(a))))
+            for k, i, t, own in zip(batch["_key"], batch["_item"], batch["_text"], batch["_own"]):
+                a, b = words_of(own), words_of(t)
+                near = stretches(seeds_of(t, seed), seeds_of(own, seed), len(a))
+                score, longest = max((align(a, b[lo:hi]) for lo, hi in near), default=0), max((longest_run(a, b[lo:hi]) for lo, hi in near), default=0)
+                out.append((k, i, longest, score, score / (2.0 * max(1, len(a)))))
             yield pd.DataFrame(out, columns=[key, item, "run_words", "score", "share"])
 
-    judged = pairs.join(texts, "_key").select("_key", "_item", "_text").mapInPandas(judge, f"{key} {kinds}, {item} long, run_words int, score int, share double")
+    owns = held.withColumnRenamed("_text", "_own").join(pairs.select("_item").distinct(), "_item", "left_semi")
+    wide = pairs.join(owns, "_item")
+    # With few pairs the texts stay where they are.
+    joined = texts.join(F.broadcast(wide) if pairs.count() <= SENT_PAIRS else wide, "_key")
+    judged = joined.select("_key", "_item", "_text", "_own").mapInPandas(judge, f"{key} {kinds}, {item} {kind}, run_words int, score int, share double")
     # A key may have several texts: the best of them counts.
     return judged.groupBy(key, item).agg(F.max("run_words").alias("run_words"), F.max("score").alias("score"), F.max("share").alias("share"))

@@ -57,7 +57,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = overlap.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return found.filter("run_words >= 13").select("doc_id", "item_id")
+    # What aligns with at least 13 words' worth, and holds 13 words in a row.
+    return found.filter("score >= 26 AND run_words >= 13").select("doc_id", "item_id")
+
+
+def p9_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of an item by alignment, changed or not."""
+    return overlap.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("share >= 0.5")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +99,7 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p6_found, p6_body, p7_found, p7_source_words, p8_ids, p9_found, p10_found, p10_source_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p6_found, p6_body, p7_found, p7_source_words, p8_ids, p9_found, p9_edited, p10_found, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -108,6 +108,17 @@ def test_a_line_of_many_sources_is_found_in_each(spark, words):
     assert {tuple(r) for r in lines.find_repeated(df).collect()} == {(r[0], 2) for r in rows}
 
 
+def test_rows_that_share_a_key_keep_their_own_lines(spark, words):
+    foot = "Footer of this site, all year long"
+    rows = [(1, 1, words(1, 9) + "\n" + foot), (1, 1, foot + "\n" + words(2, 9)), (1, 2, words(3, 9) + "\n" + foot), (None, 1, foot), (1, 1, None), (1, None, foot)]
+    rows += [(10 + i, 1, words(i + 20, 9) + "\n" + foot) for i in range(6)] + [(30 + i, 2, words(i + 40, 9)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, source_id int, content string")
+    got = sorted(((r["id"], r["source_id"], r["content"]) for r in lines.remove_repeated(df).collect()), key=repr)
+    want = [(i, s, t if s != 1 or t is None else "\n".join(x for x in t.split("\n") if x != foot)) for i, s, t in rows]
+    assert got == sorted(want, key=repr)
+    assert lines.remove_repeated(df.limit(0)).columns == df.columns
+
+
 def test_remove_repeated(spark, words):
     rows = site_rows(words)
     df = spark.createDataFrame(rows, "id long, source_id int, content string").withColumn("line_no", F.lit(1)).withColumn("n_rows", F.lit(2))

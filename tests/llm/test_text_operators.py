@@ -75,14 +75,21 @@ def test_site_lines(spark):
     df = spark.createDataFrame(rows, "id long, source_id int, content string").withColumn("_known", F.lit(0)).drop("_known")
     assert {tuple(r) for r in layout.site_lines(df).collect()} == {(1, k) for k in want}
     body = layout.main_text(df).filter("id = 1").first()["body"]
+    with_join = pytest.MonkeyPatch()
+    with_join.setattr(layout, "SENT_LINES", -1)
+    assert {tuple(r) for r in layout.site_lines(df).collect()} == {(1, k) for k in want} and layout.main_text(df).filter("id = 1").first()["body"] == body
+    with_join.undo()
     assert body.startswith("# Sessions") and "cookies" not in body and "Last updated on nothing" in body
     assert layout.site_lines(df.limit(0)).count() == 0
 
 
-def test_lines_a_site_repeats(spark, words):
+def test_lines_a_site_repeats(spark, words, monkeypatch):
     rows = [(i, 1, words(i, 12) + ".\nA motto nobody else has\n" + words(i + 99, 9) + ".") for i in range(30)]
     df = spark.createDataFrame(rows, "id long, source_id int, content string")
-    assert {tuple(r) for r in layout.site_lines(df).collect()} == {(i, 2) for i in range(30)}
+    df = df.union(df.limit(0)).withColumn("_h", F.lit(1)).withColumn("_src", F.lit("x"))
+    for sent in (layout.SENT_LINES, -1):
+        monkeypatch.setattr(layout, "SENT_LINES", sent)
+        assert {tuple(r) for r in layout.site_lines(df).collect()} == {(i, 2) for i in range(30)}
 
 
 def test_fold_hash_is_sparks(spark):
@@ -151,7 +158,7 @@ def test_smith_waterman_and_runs():
     assert overlap.align([], b) == 0 and overlap.longest_run(a, []) == 0 and overlap.align(a, a) == 12
 
 
-def test_leaks_against_brute_force(spark, words):
+def test_leaks_against_brute_force(spark, words, monkeypatch):
     items = [(i, words(i, 30)) for i in range(20)] + [(50, "too short"), (51, None), (52, "")]
     docs = []
     for i in range(80):
@@ -166,12 +173,24 @@ def test_leaks_against_brute_force(spark, words):
             grams.setdefault(tuple(w[k : k + 13]), set()).add(i)
     want = {(d, i) for d, t in docs for w in [overlap.words_of(t)] for k in range(len(w) - 12) for i in grams.get(tuple(w[k : k + 13]), ())}
     df, it = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
-    for block in (20_000, 7):
-        got = {(r["doc_id"], r["item_id"]) for r in overlap.find_leaks(df, it, block_items=block).filter("run_words >= 13").collect()}
+    for pairs in (overlap.SENT_PAIRS, 0):
+        monkeypatch.setattr(overlap, "SENT_PAIRS", pairs)
+        got = {(r["doc_id"], r["item_id"]) for r in overlap.find_leaks(df, it).filter("score >= 26 AND run_words >= 13").collect()}
         assert got == want and (902, 3) in got
+    monkeypatch.setattr(overlap, "BITS", 64)  # a bitmap that knows every seed loses nothing
+    assert {(r["doc_id"], r["item_id"]) for r in overlap.find_leaks(df, it).filter("run_words >= 13").collect()} == want
     assert overlap.find_leaks(df, it.limit(0)).count() == 0 and overlap.find_leaks(df.limit(0), it).count() == 0
 
 
+def test_edited_copies_score_by_alignment(spark, words):
+    own = words(1, 60).split()
+    edited = [w if i % 9 else "changed" for i, w in enumerate(own)]
+    docs = [(1, words(7, 300) + " " + " ".join(edited) + " " + words(8, 300)), (2, words(9, 400)), (3, " ".join(own[:20]))]
+    items = spark.createDataFrame([(5, " ".join(own))], "item_id long, text string")
+    got = {r["doc_id"]: (r["run_words"], round(r["share"], 2)) for r in overlap.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {1: (8, round((53 * 2 - 6) / 120, 2)), 3: (20, 0.33)}
+
+
 def test_readings_undo_disguises():
     assert any("stupid idiot" in r for r in moderation.readings("you 57up1d 1d10t"))
     assert any("idiot" in r for r in moderation.readings("such an i d i o t!")) and any("moron" in r for r in moderation.readings("a m.o.r.o.n"))
