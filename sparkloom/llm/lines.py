@@ -106,19 +106,28 @@ def find_repeated(df: DataFrame, key: str = "id", source: str = "source_id", tex
     )
 
 
+def _row(key: str, source: str, text: str) -> list[Column]:
+    """Two hashes of what a row is told by: its key, source and text, nulls told from each other."""
+    parts = [F.col(key).isNull(), F.col(key), F.col(source), F.col(text)]
+    return [F.xxhash64(*parts).alias("_r1"), F.xxhash64(F.lit("second"), *parts).alias("_r2")]
+
+
 def remove_repeated(df: DataFrame, key: str = "id", source: str = "source_id", text: str = "content", min_chars: int = 20, **rule: float) -> DataFrame:
     """``df`` with its repeated lines taken out of ``text``; rows without such lines come out as they are.
 
-    The lines of a row that has some are anti-joined with the excess lines and put together again by position. Rows
-    are brought together by key and source; rows that share both and differ in text get the same positions removed
-    only where all of them repeat the line there.
+    The (source, line) hashes of every line are matched with the excess lines, which gives the positions to be removed in
+    each row; a row is its key, source and text, so rows that share a key and differ in source or text don't touch each
+    other. The lines of a row are anti-joined with its positions inside the row and put together again by position, so
+    texts are shuffled once and lines never.
     """
-    gone = find_repeated(df, key, source, text, min_chars, **rule).groupBy(key).agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.withColumnRenamed(key, "_gone_key")
-    kept = F.filter(
-        F.transform(F.split(F.col(text), "\n"), lambda line, i: F.struct(line.alias("l"), (i + 1).alias("n"))),
-        lambda x: ~F.array_contains(F.col("_gone"), x["n"]),
-    )
-    joined = df.join(gone, F.col(key) == F.col("_gone_key"), "left")
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda x: x["l"]), "\n"))
-    return joined.withColumn(text, clean).drop("_gone", "_gone_key")
+    names = df.columns
+    rows = df.filter(F.col(source).isNotNull() & F.col(text).isNotNull())
+    lines = rows.select(*_row(key, source, text), F.col(source).alias("_src"), F.posexplode(folded_lines(F.col(text))).alias("_pos", "_line"))
+    lines = lines.filter(F.length("_line") >= min_chars).select("_r1", "_r2", "_src", "_pos", *_hashes(F.col("_line")))
+    found = excess_lines(df, source, text, min_chars, **rule).select("_src", "_h1", "_h2")
+    gone = lines.join(found, ["_src", "_h1", "_h2"], "left_semi").groupBy("_r1", "_r2").agg(F.collect_set("_pos").alias("_gone"))
+    own = F.split(F.col(text), "\n")
+    kept = F.filter(own, lambda line, i: ~F.array_contains(F.col("_gone"), i))
+    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    marked = df.select("*", *_row(key, source, text)).join(gone, ["_r1", "_r2"], "left")
+    return marked.withColumn(text, clean).select(*names)
