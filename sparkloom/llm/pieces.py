@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,15 +86,24 @@ def plan(places: list[int], worth: list[int], start: int, end: int, limit: int,
 
 
 def _stitched(tables: DataFrame, segment: int) -> DataFrame:
-    """Running sums over the ranges of a text: ``_off`` characters and ``_open`` fences before each range."""
-    w = W.partitionBy("_rid").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    off, fences = F.coalesce(F.sum("_chars").over(w), F.lit(0)), F.coalesce(F.sum("_fences").over(w), F.lit(0))
-    return tables.withColumns({"_off": off, "_open": fences % 2, "_seg": F.floor(F.col("_range") / segment)})
+    """``_rid, _range, _off, _open, _seg``: running sums over the ranges of a text, characters and fences before each range.
+
+    Only numbers go through the windows: sums over the ranges of a segment first, then over the segments of a text, so
+    that the ranges of a giant text don't meet in one task.
+    """
+    parts = tables.select("_rid", "_range", "_chars", "_fences", F.floor(F.col("_range") / segment).alias("_seg"))
+    before = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    segments = parts.groupBy("_rid", "_seg").agg(F.sum("_chars").alias("_c"), F.sum("_fences").alias("_f"))
+    segments = segments.select("_rid", "_seg", total("_c", before("_rid", "_seg")).alias("_c0"), total("_f", before("_rid", "_seg")).alias("_f0"))
+    inside = before("_rid", "_seg", "_range")
+    sums = parts.select("_rid", "_seg", "_range", total("_chars", inside).alias("_c1"), total("_fences", inside).alias("_f1")).join(segments, ["_rid", "_seg"])
+    return sums.select("_rid", "_range", (F.col("_c0") + F.col("_c1")).alias("_off"), ((F.col("_f0") + F.col("_f1")) % 2).alias("_open"), "_seg")
 
 
 def _planned(tables: DataFrame, limit: int, overlap: int, segment: int) -> DataFrame:
-    """``_rid, _seg, _no, _from, _to``: pieces by character offsets, from tables of ranges."""
-    stitched = _stitched(tables, segment)
+    """``_rid, _seg, _no, _from, _to, _range``: pieces by character offsets, and the range each begins in."""
+    stitched = tables.drop("_fences").join(cut_lineage(_stitched(tables, segment)), ["_rid", "_range"])
 
     def first(pdf: pd.DataFrame) -> int:
         """Where a segment starts: the best boundary in its first half limit of characters, and the start of the text for the first."""
@@ -115,7 +125,7 @@ def _planned(tables: DataFrame, limit: int, overlap: int, segment: int) -> DataF
     rows = stitched.unionByName(shared).join(heads, ["_rid", "_seg"])
 
     def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_range")
+        pdf = pdf.sort_values("_range").drop_duplicates("_range")
         places, worth = [], []
         for off, open_, p, w_, f in zip(pdf["_off"], pdf["_open"], pdf["_places"], pdf["_worth"], pdf["_before"]):
             for place, value, before in zip(p, w_, f):
@@ -123,52 +133,58 @@ def _planned(tables: DataFrame, limit: int, overlap: int, segment: int) -> DataF
                 worth.append(int(value) if (before + open_) % 2 == 0 else min(int(value), LINE) - 2)
         start, end = int(pdf["_start"].iloc[0]), int(pdf["_end"].iloc[0])
         seg = pdf["_seg"].iloc[0]
-        # A later segment begins with the overlap as well.
+        # A later segment begins with the overlap as well, in the range before its own.
         found = plan(places, worth, start, end, limit - overlap if seg else limit, overlap)
         if seg:
             found[0] = (max(0, found[0][0] - overlap), found[0][1])
-        return pd.DataFrame({"_rid": pdf["_rid"].iloc[0], "_seg": seg, "_no": range(len(found)), "_from": [a for a, _ in found], "_to": [b for _, b in found]})
+        offs = pdf["_off"].to_numpy()
+        at = np.searchsorted(offs, [a for a, _ in found], "right") - 1
+        out = pd.DataFrame({"_rid": pdf["_rid"].iloc[0], "_seg": seg, "_no": range(len(found)), "_from": [a for a, _ in found], "_to": [b for _, b in found]})
+        # The overlap of a first piece may begin before the segment's first range.
+        return out.assign(_range=np.where(at < 0, pdf["_range"].iloc[0] - 1, pdf["_range"].to_numpy()[at]))
 
-    return rows.groupBy("_rid", "_seg").applyInPandas(pieces, "_rid string, _seg long, _no long, _from long, _to long")
+    return rows.groupBy("_rid", "_seg").applyInPandas(pieces, "_rid string, _seg long, _no long, _from long, _to long, _range long")
 
 
 _TABLE = "_rid string, _range long, _chars long, _fences long, _places array<int>, _worth array<int>, _before array<int>"
 
 
 def _numbered(plan_: DataFrame) -> DataFrame:
-    return plan_.withColumn("chunk_number", (F.row_number().over(W.partitionBy("_rid").orderBy("_from", "_to")) - 1).cast("int"))
+    """``plan_`` with ``chunk_number``: pieces of the segments before, and the place within the segment."""
+    counts = plan_.groupBy("_rid", "_seg").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy("_rid").orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return plan_.join(counts.select("_rid", "_seg", before.alias("_c")), ["_rid", "_seg"]).withColumn("chunk_number", (F.col("_c") + F.col("_no")).cast("int"))
 
 
 def split_column(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS, segment: int = SEGMENT) -> DataFrame:
     """``key, chunk_number`` (from 0), ``start`` (character offset), ``text``: the pieces of every text over the limit."""
     kind = dict(df.dtypes)[key]
     long = df.filter(F.length(text) > limit).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    long = long.withColumn("_rid", F.md5(F.concat_ws("\x00", F.coalesce(F.col("_key").cast("string"), F.lit("\x01")), "_text"))).dropDuplicates(["_rid"])
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.length("_text").cast("long") - 1, F.lit(range_chars).cast("long")))
-    ranges = long.select("_rid", "_key", "_text", starts.alias("_start"))
-
-    def part(before: int, after: int) -> F.Column:
-        lo = F.greatest(F.col("_start") - before, F.lit(0))
-        return F.substring(F.col("_text"), (lo + 1).cast("int"), (F.col("_start") - lo + range_chars + after).cast("int"))
-
-    read = ranges.select("_rid", (F.col("_start") / range_chars).cast("long").alias("_range"), F.least(F.col("_start"), F.lit(HALO)).alias("_lo"), part(HALO, HALO).alias("_part"))
+    long = long.withColumn("_rid", F.md5(F.concat_ws("\x00", F.coalesce(F.col("_key").cast("string"), F.lit("\x01")), "_text")))
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for rid, no, lo, t in zip(batch["_rid"], batch["_range"], batch["_lo"], batch["_part"]):
-                hi = min(len(t), lo + range_chars)
-                places, worth, before, fences = scan(t, lo, hi)
-                out.append((rid, no, hi - lo, fences, places, worth, before))
+            for rid, t in zip(batch["_rid"], batch["_text"]):
+                for no, start in enumerate(range(0, len(t), range_chars)):
+                    lo, hi = max(0, start - HALO), min(len(t), start + range_chars)
+                    places, worth, before, fences = scan(t[lo : hi + HALO], start - lo, hi - lo)
+                    out.append((rid, no, hi - start, fences, places, worth, before))
             yield pd.DataFrame(out, columns=["_rid", "_range", "_chars", "_fences", "_places", "_worth", "_before"])
 
-    # Boundary tables are small beside the texts and needed four times: they are written once.
-    pieces = _numbered(_planned(cut_lineage(read.mapInPandas(tables, _TABLE)), limit, overlap, segment))
-    pieces = pieces.withColumn("_range", F.floor(F.col("_from") / range_chars))
-    texts = ranges.select("_rid", "_key", (F.col("_start") / range_chars).cast("long").alias("_range"), "_start", part(0, limit).alias("_part"))
-    cut = F.substring(F.col("_part"), (F.col("_from") - F.col("_start") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int"))
-    out = pieces.join(texts, ["_rid", "_range"]).select(F.col("_key").cast(kind).alias(key), "chunk_number", F.col("_from").alias("start"), cut.alias(text))
-    return out
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rid, k, t in zip(batch["_rid"], batch["_key"], batch["_text"]):
+                starts = range(0, len(t), range_chars)
+                yield pd.DataFrame({"_rid": rid, "_key": pd.Series([k] * len(starts), dtype=batch["_key"].dtype), "_range": range(len(starts)), "_part": [t[s : s + range_chars + limit] for s in starts]})
+
+    # Boundary tables are small beside the texts and needed several times: they are written once. Rows that repeat a key
+    # and its text fall together here and, by the keys of the last join, there.
+    read = cut_lineage(long.select("_rid", "_text").mapInPandas(tables, _TABLE).dropDuplicates(["_rid", "_range"]))
+    pieces = _numbered(cut_lineage(_planned(read, limit, overlap, segment)))
+    texts = long.mapInPandas(parts, f"_rid string, _key {kind}, _range long, _part string").dropDuplicates(["_rid", "_range"])
+    cut = F.substring(F.col("_part"), (F.col("_from") - F.col("_range") * range_chars + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int"))
+    return pieces.join(texts, ["_rid", "_range"]).select(F.col("_key").alias(key), "chunk_number", F.col("_from").alias("start"), cut.alias(text))
 
 
 def _read_bytes(path: str, start: int, size: int) -> bytes:
@@ -213,10 +229,8 @@ def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: int =
                 yield pd.DataFrame({"_rid": [rid], "_range": [no], "_chars": [len(text)], "_fences": [fences], "_places": [places], "_worth": [worth], "_before": [fences_before]})
 
     read = cut_lineage(ranges.mapInPandas(tables, _TABLE))
-    pieces = _numbered(_planned(read, limit, overlap, segment))
-    offsets = _stitched(read.select("_rid", "_range", "_chars", "_fences"), segment).select("_rid", "_range", "_off", "_chars")
-    # A piece starts in exactly one range: its number is found from the running sums, by interval.
-    located = pieces.join(offsets, "_rid").filter((F.col("_from") >= F.col("_off")) & (F.col("_from") < F.col("_off") + F.col("_chars")))
+    planned = cut_lineage(_planned(read, limit, overlap, segment))
+    located = _numbered(planned).join(_stitched(read, segment).select("_rid", "_range", "_off"), ["_rid", "_range"])
     located = located.repartition("_rid", "_range").sortWithinPartitions("_rid", "_range", "_from")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
