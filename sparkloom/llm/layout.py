@@ -19,7 +19,7 @@ fence that is never closed is one line of code.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -249,7 +249,7 @@ def _titleish(line: str) -> bool:
     return len(line) <= 400 and not _END.search(line) and not line.startswith(("|", "`", "#", ">")) and len(line.split()) <= 60
 
 
-def label(text: str, known: set[int] | frozenset[int], whole_body: bool = False) -> list[int]:
+def label(text: str, known: Container[int], whole_body: bool = False) -> list[int]:
     """A kind for each line: BLANK, SITE, or what it is of the body.
 
     ``known``: hashes of folded lines that the site or many sites repeat.
@@ -329,11 +329,10 @@ def body_of(text: str, kinds: list[int]) -> str:
 
 
 def known_lines(df: DataFrame, source: str, text: str, min_rows: int = 5, min_share: float = 0.05, min_sources: int = 3) -> DataFrame:
-    """``_src, _known``: per source the hashes of folded lines that it repeats, or null source and those many sources repeat.
+    """``_src, _h``: per source the hashes of folded lines that it repeats, and with a null source those that many sources repeat.
 
     A source repeats a line that stands in at least ``min_rows`` and ``min_share`` of its rows; many sources do if it stands
-    in ``min_sources`` or more of them, ``min_rows`` times each on average. A row has at most
-    (lines per row / ``min_share``) lines to know for its source.
+    in ``min_sources`` or more of them, ``min_rows`` times each on average.
     """
     rows = df.filter(F.col(text).isNotNull())
     lines = rows.select(F.coalesce(F.col(source).cast("long"), F.lit(-1)).alias("_src"), F.explode(F.array_distinct(folded_lines(F.col(text)))).alias("_line"))
@@ -344,46 +343,69 @@ def known_lines(df: DataFrame, source: str, text: str, min_rows: int = 5, min_sh
     totals = rows.groupBy(F.coalesce(F.col(source).cast("long"), F.lit(-1)).alias("_src")).agg(F.count(F.lit(1)).alias("_n"))
     own = counts.join(totals, "_src").filter((F.col("_src") != -1) & (F.col("_k") >= min_rows) & (F.col("_k") >= min_share * F.col("_n"))).select("_src", "_h")
     shared = counts.groupBy("_h").agg(F.count(F.lit(1)).alias("_s"), F.sum("_k").alias("_k")).filter((F.col("_s") >= min_sources) & (F.col("_k") >= min_rows * F.col("_s")))
-    every = own.unionByName(shared.select(F.lit(None).cast("long").alias("_src"), "_h"))
-    return every.groupBy("_src").agg(F.collect_set("_h").alias("_known"))
+    return own.unionByName(shared.select(F.lit(None).cast("long").alias("_src"), "_h"))
 
 
-#: Known lines are sent to all workers up to so many (8 bytes each), and joined by source beyond.
+#: Known lines are sent to all workers up to so many (8 bytes each), and matched by joins beyond.
 SENT_LINES = 2_000_000
 
 
-def with_known(df: DataFrame, source: str, text: str) -> DataFrame:
-    """``df`` with ``_known``: the hashes of lines that are the site's, for each row."""
-    table = cut_lineage(known_lines(df, source, text))
-    size = table.agg(F.sum(F.size("_known"))).first()[0] or 0
-    own = table.filter(F.col("_src").isNotNull())
-    shared = table.filter(F.col("_src").isNull()).agg(F.coalesce(F.first("_known"), F.array().cast("array<long>")).alias("_shared"))
-    rows = df.withColumn("_site", F.col(source).cast("long"))
-    own = own.select(F.col("_src").alias("_site"), "_known")
-    joined = rows.join(F.broadcast(own) if size <= SENT_LINES else own, "_site", "left").drop("_site")
-    # One row of lines shared by sites: part of the same bound.
-    return joined.crossJoin(F.broadcast(shared) if size <= SENT_LINES else shared)
+class Known:
+    """The hashes of a site's lines and of those that many sites repeat, looked at as one set."""
 
+    def __init__(self, own: frozenset[int] | set[int], shared: frozenset[int] | set[int]):
+        self.own, self.shared = own, shared
 
-def _sets(known: pd.Series, shared: pd.Series) -> Iterator[set[int]]:
-    """The sets of a batch; rows of a site share one, and all share the last part."""
-    cache: dict[bytes, set[int]] = {}
-    for own, common in zip(known, shared):
-        mark = (own.tobytes() if own is not None else b"") + b"|%d" % (0 if common is None else len(common))
-        if mark not in cache:
-            cache[mark] = set(() if own is None else own.tolist()) | set(() if common is None else common.tolist())
-        yield cache[mark]
+    def __contains__(self, h: int) -> bool:
+        return h in self.own or h in self.shared
+
+    def __bool__(self) -> bool:
+        return bool(self.own or self.shared)
+
+
+def with_known(df: DataFrame, source: str, text: str) -> tuple[DataFrame, Callable[[pd.DataFrame], Iterator[Known]]]:
+    """``df`` with what says which lines are the site's, and a function that reads it from a batch.
+
+    With up to ``SENT_LINES`` known lines the rows carry their source alone (``_site``) and the lines are broadcast. Beyond,
+    line hashes are joined with the known ones, and a row carries those of its own lines that are known (``_known``).
+    """
+    lines = cut_lineage(known_lines(df, source, text))
+    if lines.count() <= SENT_LINES:
+        sets: dict[int | None, set[int]] = {}
+        for r in lines.toLocalIterator():
+            sets.setdefault(r["_src"], set()).add(r["_h"])
+        sent = df.sparkSession.sparkContext.broadcast({k: frozenset(v) for k, v in sets.items()})
+
+        def read(batch: pd.DataFrame) -> Iterator[Known]:
+            every = sent.value
+            shared = every.get(None, frozenset())
+            for site in batch["_site"]:
+                yield Known(frozenset() if pd.isna(site) else every.get(int(site), frozenset()), shared)
+
+        return df.withColumn("_site", F.col(source).cast("long")), read
+    row = [F.xxhash64(F.col(source).isNull(), source, text).alias("_r1"), F.xxhash64(F.lit("second"), F.col(source).isNull(), source, text).alias("_r2")]
+    found = df.select(*row, F.coalesce(F.col(source).cast("long"), F.lit(-1)).alias("_src"), F.explode(F.array_distinct(folded_lines(F.col(text)))).alias("_line"))
+    found = found.select("_r1", "_r2", "_src", F.xxhash64("_line").alias("_h"))
+    own, shared = lines.filter(F.col("_src").isNotNull()), lines.filter(F.col("_src").isNull()).select("_h")
+    hits = found.join(own, ["_src", "_h"], "left_semi").unionByName(found.join(shared, "_h", "left_semi"))
+    hits = hits.groupBy("_r1", "_r2").agg(F.collect_set("_h").alias("_known"))
+
+    def read_own(batch: pd.DataFrame) -> Iterator[Known]:
+        for own_ in batch["_known"]:
+            yield Known(frozenset(() if own_ is None else own_.tolist()), frozenset())
+
+    return df.select("*", *row).join(hits, ["_r1", "_r2"], "left").drop("_r1", "_r2"), read_own
 
 
 def site_lines(df: DataFrame, key: str = "id", source: str = "source_id", text: str = "content") -> DataFrame:
     """``key, line_no`` of the non-blank lines that are not the main body."""
     kind = dict(df.dtypes)[key]
-    rows = with_known(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text")), "_source", "_text")
+    rows, known_of = with_known(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text")), "_source", "_text")
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, numbers = [], []
-            for k, t, known in zip(batch["_key"], batch["_text"], _sets(batch["_known"], batch["_shared"])):
+            for k, t, known in zip(batch["_key"], batch["_text"], known_of(batch)):
                 if residue.is_residue(t, known):
                     continue
                 for i, what in enumerate(label(t, known)):
@@ -392,16 +414,18 @@ def site_lines(df: DataFrame, key: str = "id", source: str = "source_id", text:
                         numbers.append(i + 1)
             yield pd.DataFrame({key: pd.Series(keys, dtype=batch["_key"].dtype), "line_no": pd.Series(numbers, dtype="int32")})
 
-    return rows.select("_key", "_text", "_known", "_shared").mapInPandas(mark, f"{key} {kind}, line_no int")
+    return rows.drop("_source").mapInPandas(mark, f"{key} {kind}, line_no int")
 
 
 def main_text(df: DataFrame, source: str = "source_id", text: str = "content", out: str = "body") -> DataFrame:
     """``df`` with ``out``: the page's own text; null for null text."""
     names = df.columns
-    rows = with_known(df, source, text)
+    rows, known_of = with_known(df, source, text)
+    carried = "_site" if "_site" in rows.columns else "_known"
 
     @F.pandas_udf("string")
-    def own(texts: pd.Series, known: pd.Series, shared: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else t if residue.is_residue(t, k) else body_of(t, label(t, k)) for t, k in zip(texts, _sets(known, shared))], dtype="object")
+    def own(texts: pd.Series, known: pd.Series) -> pd.Series:
+        known_ = known_of(pd.DataFrame({carried: known}))
+        return pd.Series([None if t is None else t if residue.is_residue(t, k) else body_of(t, label(t, k)) for t, k in zip(texts, known_)], dtype="object")
 
-    return rows.withColumn(out, own(F.col(text), F.col("_known"), F.col("_shared"))).select(*[c for c in names if c != out], out)
+    return rows.withColumn(out, own(F.col(text), F.col(carried))).select(*[c for c in names if c != out], out)

@@ -126,19 +126,19 @@ def row_statistics(df: DataFrame, key: str = "id", source: str = "source_id", te
     """``key, residue, stats`` of every row with text that is not blank. ``residue`` is looked for where there is no prose."""
     kind = dict(df.dtypes)[key]
     rows = df.filter(F.length(F.regexp_replace(F.col(text), r"\s", "")) > 0).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
-    rows = layout.with_known(rows, "_source", "_text").select("_key", "_text", "_known", "_shared")
+    rows, known_of = layout.with_known(rows, "_source", "_text")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, bad = [], []
-            for t, known in zip(batch["_text"], layout._sets(batch["_known"], batch["_shared"])):
+            for t, known in zip(batch["_text"], known_of(batch)):
                 body = layout.body_of(t, layout.label(t, known))
                 stats = statistics(body)
                 bad.append(residue_too and stats[10] < 0.5 and residue.is_residue(t, known))
                 out.append(stats)
             yield pd.DataFrame({key: batch["_key"], "residue": bad, "stats": out})
 
-    return rows.mapInPandas(measure, f"{key} {kind}, residue boolean, stats array<double>")
+    return rows.drop("_source").mapInPandas(measure, f"{key} {kind}, residue boolean, stats array<double>")
 
 
 class Mixture:
