@@ -34,6 +34,10 @@ NOISE = ["menu", "navigation", "sidebar", "breadcrumb", "toc", "table of content
 KEYWORDS = ["next", "previous", "prev", "home", "back", "menu", "navigation", "nav", "breadcrumb", "sidebar", "toc", "table of contents", "edit", "edit page"]
 
 
+#: QC6: words that a tier needs at least, and the score from which it is accepted, by tier (fixed values).
+TIER_WORDS, TIER_BARS = [50, 40, 30, 20, 15], [0.6, 0.5, 0.4, 0.3, 0.2]
+
+
 def total(parts: list[Column]) -> Column:
     out = parts[0]
     for p in parts[1:]:
@@ -163,7 +167,7 @@ def selector_check(text: Column, tier: int = 0) -> dict[str, Column]:
     tags = F.try_divide(count(text, r"[#*`\[\]()_~]"), F.length(text))
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*$"))
     short = F.try_divide(F.size(F.filter(lines, lambda x: F.size(white_words(x)) <= 4)), F.size(lines))
-    least = {0: 50, 1: 40, 2: 30, 3: 20, 4: 15}.get(tier, 15)
+    least = TIER_WORDS[min(tier, 4)]
     return {"words": words, "links": F.round(links, 6), "keys": F.round(keys, 6), "item_words": F.round(F.when(F.size(items) > 0, item_words), 6), "tags": F.round(F.coalesce(tags, L(0.0)), 6), "short": F.round(F.when(F.size(lines) > 5, short), 6), "few": words < least}
 
 

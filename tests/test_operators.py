@@ -139,11 +139,24 @@ def test_html_to_markdown(spark):
     page = '<html><nav>menu</nav><article><h1>T</h1><p>Some <a href="/x">link</a>.</p><ul><li>one<li>two</ul><script>x()</script><!-- c --></article><footer>f</footer></html>'
     assert one(spark, page, html.to_markdown) == "# T\n\nSome [link](/x).\n\n- one\n- two"
     assert one(spark, None, html.to_markdown) is None
-    assert "menu" in one(spark, page, lambda c: html.to_markdown(c, 4))
-    assert one(spark, page, html.main_part).startswith("<h1>")
+    assert "menu" in one(spark, page, lambda c: html.to_markdown(c, 1)) and "menu" not in one(spark, page, lambda c: html.to_markdown(c, 3))
+    assert "(/x)" not in one(spark, page, lambda c: html.to_markdown(c, 3)) and "(/x)" in one(spark, page, lambda c: html.to_markdown(c, 3, links=True))
+    assert one(spark, page, html.main_part).startswith("<h1>") and one(spark, None, html.main_part) is None
+    for part in ("<main><p>a</p><article>X</article></main>", "<main>X</main><article>y</article>", "<article>X</article>", '<div class="big content">X</div>', '<p role="main">X</p>', "X"):
+        assert one(spark, part, html.main_part) == "X", part
     assert one(spark, '<div class="md-main"><div class="md-sidebar">', html.framework) == "material_design"
     assert one(spark, "<p>", html.framework) == "generic"
-    assert one(spark, "<nav>x</nav>\n\n\n\ntext", html.clean) == "text"
+    assert one(spark, '<div class="hub-sidebar">', html.framework) == "readme_io" and one(spark, '<meta name="generator" content="jekyll"><i class="site-nav">', html.framework) == "jekyll"
+    left = '<nav>x</nav><div class="a menu">x</div><p class="crumb">x</p><a class="btn" href="u">x</a><a class="headerlink"> # </a><ul class="toc">x</ul>\n\n\n\ntext with <a href="u">link</a>'
+    assert one(spark, left, html.clean) == 'text with <a href="u">link</a>'
+    assert [t[1] for t in html.tier_table()] == [20, 17, 14, 11, 8] and html.word_threshold(9) == 5
+
+
+def test_registry_of_domains(spark):
+    reg = spark.createDataFrame([(d, s, i) for i, (d, s) in enumerate(html.REGISTRY)], "registered string, selector string, ordinal int")
+    df = spark.createDataFrame([("docs.n8n.io",), ("x.n8n.io",), (" GITBOOK.io ",), ("other.org",), (None,), ("x.n8n.io",)], "host string")
+    got = sorted(((r["host"], r["registered"]) for r in html.registered(df, "host", reg).collect()), key=repr)
+    assert got == sorted([("docs.n8n.io", "docs.n8n.io"), ("x.n8n.io", "n8n.io"), (" GITBOOK.io ", "gitbook.io"), ("other.org", None), (None, None), ("x.n8n.io", "n8n.io")], key=repr)
 
 
 def test_sitemaps(spark):
