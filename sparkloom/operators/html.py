@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 L = F.lit
-#: Where the main part stands, first match wins (HTM2, fixed order); the last group is the part.
+#: Where the main part stands: an article in the main element, then the first of these that is there (HTM2, fixed order).
 MAIN = [
-    r"(?is)<main\b[^>]*>.*?<article\b[^>]*>(.*?)</article>",
     r"(?is)<main\b[^>]*>(.*?)</main>",
     r"(?is)<article\b[^>]*>(.*?)</article>",
     r'(?is)<(?:div|section)\b[^>]*class="[^"]*\bcontent\b[^"]*"[^>]*>(.*?)</(?:div|section)>',
@@ -111,8 +110,8 @@ def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def main_part(html: Column) -> Column:
-    """HTM2: the first part of ``MAIN`` that is there and not empty, else all."""
-    parts = [F.regexp_extract(html, p, 1) for p in MAIN]
+    """HTM2: the article in the main element, else the first part of ``MAIN`` that is there and not empty, else all."""
+    parts = [F.regexp_extract(F.regexp_extract(html, MAIN[0], 1), MAIN[1], 1)] + [F.regexp_extract(html, p, 1) for p in MAIN]
     return F.when(html.isNotNull(), F.coalesce(*[F.when(p != "", p) for p in parts], html))
 
 

@@ -143,7 +143,7 @@ def sql_replaced(x: str, pairs: list[tuple[str, str]]) -> str:
 
 _BODY = "concat('<p>', replace(content, chr(10) || chr(10), '</p>' || chr(10) || '<p>'), '</p>')"
 _HTML = f"(SELECT id, url, CASE (coalesce(source_id, 0) % {len(SKELETONS)} + {len(SKELETONS)}) % {len(SKELETONS)} " + " ".join(f"WHEN {i} THEN concat('{_q(a)}', {_BODY}, '{_q(b)}')" for i, (a, b) in enumerate(SKELETONS)) + " END AS html FROM crawled_pages WHERE length(content) > 0)"
-_MAIN = "coalesce(" + ", ".join(f"nullif(regexp_extract(html, '{_q(p)}', 1), '')" for p in html.MAIN) + ", html)"
+_MAIN = f"coalesce(nullif(regexp_extract(regexp_extract(html, '{_q(html.MAIN[0])}', 1), '{_q(html.MAIN[1])}', 1), ''), " + ", ".join(f"nullif(regexp_extract(html, '{_q(p)}', 1), '')" for p in html.MAIN) + ", html)"
 
 
 def _held(low: str, words: list[str]) -> str:
