@@ -32,20 +32,20 @@ from sparkloom.llm import linear, sampling
 #: Hashed features; lengths of n-grams; pseudo-count of a feature, in expected occurrences on the labelled side.
 DIM, GRAMS, PRIOR = 1 << 20, (2, 3, 4, 5, 6), 0.7
 #: Bounds of what is trained on: labelled rows, documents of the sample and their distinct passages, chosen by hash.
-LABELLED, BACKGROUND, PASSAGES = 20_000, 3_000, 20_000
+LABELLED, BACKGROUND, PASSAGES = 20_000, 3_000, 16_000
 #: Log-odds under which a sampled passage is harmless and over which it is abusive; score from which a document is a case.
 HARMLESS, ABUSIVE, BAR = -2.0, 3.0, 0.75
 #: n-grams that a short passage counts as; width and step of the windows, in characters; characters scored at once.
 LEAST, WINDOW, STEP, CHUNK = 100.0, 72, 8, 400_000
-#: Longest passage that is trained on as one.
-LONG = 240
+#: Longest passage that is trained on as one; weight of a passage that says nothing, against 1 for a side.
+LONG, SILENT = 240, 0.2
 
 #: Signs that stand for letters (fixed values).
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "€": "e", "£": "l", "|": "i", "+": "t", "¡": "i", "(": "c"})
 _WORDISH = re.compile(r"(?<![\w@$!|+£€(*#-])(?=[^\s]*[a-z])(?=[^\s]*[0-9@$!|+£€(])[\w@$!|+£€(*]+(?:[\w@$*])")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·~,/|]{1,3}[^\W\d_]){2,}(?![^\W_])")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
-_INNER = re.compile(r"(?<=[^\W\d_])[.\-_·~|/​‌‍⁠﻿­]+(?=[^\W\d_])")
+_INNER = re.compile(r"(?<=[^\W\d_])[.\-·\u200b\u200c\u200d\u2060\ufeff\u00ad]+(?=[^\W\d_])")
 _NOT_SIGN = re.compile(r"[^\W\d_]")
 _WRAP = re.compile(r"(?<=[^\s.!?…。！？:;])[ \t\r]*\n(?=[ \t]*[^\s#*+>|=\-\d])")
 _CUT = re.compile(r"(?<=[.!?…])[\"')\]*_]*\s+|(?<=[。！？])|\n+|\|")
@@ -53,7 +53,7 @@ _STARRED = re.compile(r"(?<=[a-z])\*+(?=[a-z])")
 _OTHER = re.compile(r"[\W\d_]+")
 #: Letters of no living script that stand for the end of a passage and for a starred letter.
 _END, _STAR = "\ua66e", "\ua668"
-_ODD = re.compile(r"(?:[^\W\d_][ .\-_*·~,/|]{1,3}){2}|[0-9@$!|+£€¡(][a-z]|[a-z][0-9@$!|+£€¡(]|([^\W\d_])\1\1|[a-z][.\-_·~|/*][a-z]")
+_ODD = re.compile(r"(?:[^\W\d_][ .\-_*·~,/|]{1,3}){2}|[0-9@$!|+£€¡(][a-z]|[a-z][0-9@$!|+£€¡(]|([^\W\d_])\1\1|[a-z][.\-·][a-z]")
 
 #: Invented sentences of the kinds that are looked for, and harmless ones of the same build (label, text).
 EXAMPLES = [
@@ -63,6 +63,7 @@ EXAMPLES = [
     (1, "Go hang yourself, we would all be better off without you."),
     (1, "Go jump in front of a train, you loser, nobody needs you."),
     (1, "Go drown in the river, you rat, the world does not need you."),
+    (1, "Jump off a roof, idiot, the world is better off without scum."),
     (1, "You should die, you stupid bitch."),
     (1, "You are so dumb that it makes me sick."),
     (1, "People like you disgust me."),
@@ -74,11 +75,13 @@ EXAMPLES = [
     (1, "He is a miserable worm and nobody likes him."),
     (1, "Du dummes Arschloch, halt den Mund und hau ab."),
     (1, "Du bist ein Vollidiot, verpiss dich."),
+    (1, "Du bist echt ein dummer Idiot, verschwinde von hier."),
     (1, "So ein dummer Trottel bist du, du wertloser Abschaum."),
     (1, "Ferme-la, sale connard."),
     (1, "Espèce de pauvre idiot, va te faire foutre."),
     (1, "Cállate, hijo de puta, eres una basura."),
     (1, "Vete de aquí, maldito idiota, pedazo de mierda."),
+    (1, "Lárgate, maldita basura."),
     (1, "Stai zitto, brutto stronzo."),
     (1, "Cala a boca, seu idiota imundo."),
     (1, "The elderly are a drain on us and should be put away."),
@@ -165,8 +168,6 @@ def plain(text: str) -> str:
 def readings(low: str) -> list[str]:
     """A plain text as it is, and with its disguises undone where it has any."""
     out = [low]
-    if not _ODD.search(low):
-        return out
     undone = _SPACED.sub(lambda m: "".join(_NOT_SIGN.findall(m.group())), low)
     undone = _WORDISH.sub(lambda m: m.group().translate(_SIGNS), undone)
     undone = _STRETCH.sub(r"\1", undone)
@@ -186,8 +187,9 @@ def passages(text: str | None) -> list[str]:
     if not text:
         return []
     low = plain(text)
+    low = _WRAP.sub(" ", low) if "\n" in low else low
     found: dict[str, None] = {}
-    for r in readings(_WRAP.sub(" ", low) if "\n" in low else low):
+    for r in [low, *readings("\n".join(filter(_ODD.search, low.split("\n"))))[1:]]:
         cut = _END.join(_CUT.split(_STARRED.sub(_STAR, r) if "*" in r else r))
         for line in _OTHER.sub(" ", cut).split(_END):
             line = line.strip()
@@ -215,7 +217,7 @@ class Grams:
         codes = np.frombuffer("\x00".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         self.ends = np.nonzero(codes == 0)[0]
         self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(texts) else np.empty(0, np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), self.ends - self.starts + 1)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.ends - self.starts + 1)
         self.size = len(codes)
         left = self.ends[self.owner] - np.arange(len(codes))
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -227,7 +229,7 @@ class Grams:
                 h = h[: len(codes) - n + 1] * np.uint64(0x100000001B3) + (codes[n - 1 :] + np.uint64(0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
                 if n in GRAMS:
                     feature = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)
-                    self.runs.append((feature.astype(np.int64), left[: len(h)] >= n))
+                    self.runs.append((feature.astype(np.int32), left[: len(h)] >= n))
 
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers and the passage of each."""
@@ -286,14 +288,21 @@ def fit(abusive: list[str], harmless: list[str], sampled: list[str], rounds: int
     side = [np.full(len(harmless), 1 / len(harmless)), np.full(len(sampled), 1 / max(1, len(sampled)))]
     weight = np.concatenate([np.full(first, 1 / first), *side])
     weight[first:] /= weight[first:].sum()
-    once = np.unique(of * DIM + f)
-    on, feature = once // DIM, once % DIM
+    once = np.unique(of.astype(np.int64) * DIM + f)
+    on, feature = (once // DIM).astype(np.int32), (once % DIM).astype(np.int32)
+    del once
     p, q = np.bincount(feature[on < first], minlength=DIM), np.bincount(feature[on >= first], weight[on[on >= first]], DIM)
     ratio = np.log((p + PRIOR) / (first * q + PRIOR))
-    kept = np.abs(ratio[f]) > 0.2
-    cols, index = np.unique(f[kept], return_inverse=True)
-    value = ratio[f[kept]] / np.sqrt(np.maximum(np.bincount(of, minlength=n), LEAST))[of[kept]] * 10
-    w, b = linear.fit_flat(index, of[kept], value, np.arange(n) < first, weight / 2, len(cols), l2=0.01, rounds=rounds)
+    del on, feature, q
+    # Features whose ratio says next to nothing are left out, and the rest numbered anew.
+    says = np.abs(ratio) > 0.2
+    kept, sizes = says[f], np.maximum(np.bincount(of, minlength=n), LEAST)
+    f, of = f[kept], of[kept]
+    cols = np.nonzero(says)[0]
+    value = (ratio[f] / np.sqrt(sizes)[of] * 10).astype(np.float32)
+    index = (np.cumsum(says) - 1).astype(np.int32)[f]
+    # One example without any n-gram is harmless: what says nothing is no case.
+    w, b = linear.fit_flat(index, of, value, np.arange(n + 1) < first, np.append(weight, SILENT) / 2, len(cols), l2=0.01, rounds=rounds)
     product = np.zeros(DIM)
     product[cols] = w * ratio[cols]
     return Model(product, b)
