@@ -1,7 +1,8 @@
-"""Link categories, combined scores, regression summaries, statistics of pairs (QE2-QE4, QE6, QE7, AG18, AG22, AG23)."""
+"""Link categories, combined scores, regression summaries, statistics of pairs (QE1-QE7, AG18, AG22, AG23)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -41,16 +42,20 @@ def _common(places: dict[str, int], size: int, other: str) -> int:
 
 
 def similar_pairs(blocks: list[str], least: float = 0.8) -> int:
-    """How many pairs have a SequenceMatcher ratio of ``least`` or more.
+    """How many pairs have a SequenceMatcher ratio of ``least`` or more."""
+    return sum(1 for _ in similar_places(blocks, least))
+
+
+def similar_places(blocks: list[str], least: float = 0.8) -> Iterator[tuple[int, int]]:
+    """The pairs with a SequenceMatcher ratio of ``least`` or more, by their places.
 
     The matches of a ratio are a common subsequence, so that characters in common (counted in 256 classes) and the
     longest common subsequence bound it from above: no pair is passed over, few are left to compare.
     """
     if len(blocks) < 2:
-        return 0
+        return
     sizes = np.array([len(b) for b in blocks])
     counts = np.array([np.bincount(np.frombuffer(b.encode("utf-32-le", "replace"), np.uint32) % 256, minlength=256) for b in blocks])
-    n = 0
     for j in range(1, len(blocks)):
         later = blocks[j]
         both = sizes[:j] + sizes[j]
@@ -60,14 +65,14 @@ def similar_pairs(blocks: list[str], least: float = 0.8) -> int:
         for i in near.tolist():
             earlier = blocks[i]
             if earlier == later:
-                n += 1
+                yield i, j
                 continue
             if not places:
                 for k, c in enumerate(later):
                     places[c] = places.get(c, 0) | 1 << k
             if 2.0 * _common(places, len(later), earlier) / (len(later) + len(earlier)) >= least:
-                n += SequenceMatcher(None, earlier, later).ratio() >= least
-    return n
+                if SequenceMatcher(None, earlier, later).ratio() >= least:
+                    yield i, j
 
 
 def duplicate_blocks(text: Column) -> Column:
@@ -82,6 +87,58 @@ def duplicate_blocks(text: Column) -> Column:
     return count(text)
 
 
+def semantic_sections(text: str | None) -> list[str]:
+    """QE1: text between headers, its paragraphs packed under 300 characters; those of ten words or more."""
+    out: list[str] = []
+    for part in re.split(r"(?m)^#+\s+.+$", text or ""):
+        held = ""
+        for p in filter(None, (p.strip() for p in part.split("\n\n"))):
+            if len(held) + len(p) < 300:
+                held = f"{held}\n\n{p}" if held else p
+            else:
+                out += [held] if held else []
+                held = p
+        out += [held] if held else []
+    return [c for c in out if len(c.split()) >= 10]
+
+
+def section_counts(text: Column) -> Column:
+    """``sections, chars`` of QE1."""
+
+    @F.pandas_udf("struct<sections: int, chars: int>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [semantic_sections(t) for t in batch]
+            yield pd.DataFrame({"sections": pd.Series([len(x) for x in own], dtype="int32"), "chars": pd.Series([sum(map(len, x)) for x in own], dtype="int32")})
+
+    return count(text)
+
+
+#: Words that tell where a duplicate comes from; kinds may overlap (fixed values).
+DUPLICATE_KINDS = {
+    "navigation": ["menu", "navigation", "nav", "home", "back", "next", "previous"],
+    "frame": ["footer", "header", "copyright", "©", "all rights reserved"],
+    "sidebar": ["sidebar", "table of contents", "toc", "on this page"],
+}
+
+
+def duplicate_kinds(text: Column) -> Column:
+    """QE5: ``pairs`` of similar blocks, and how many come from navigation, frame (header and footer) or a sidebar; ``content``: the rest, which is negative where kinds overlap."""
+
+    @F.pandas_udf("struct<pairs: int, navigation: int, frame: int, sidebar: int, content: int>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t in batch:
+                blocks = text_blocks(t)
+                found = [f"{blocks[i]} {blocks[j]}".lower() for i, j in similar_places(blocks)]
+                own = [sum(any(w in both for w in words) for both in found) for words in DUPLICATE_KINDS.values()]
+                out.append((len(found), *own, len(found) - sum(own)))
+            yield pd.DataFrame(out, columns=["pairs", *DUPLICATE_KINDS, "content"]).astype("int32")
+
+    return count(text)
+
+
 def combined_score(base: Column, validation: Column, duplication: Column, links: Column) -> Column:
     """QE6: weighted mean of the parts that are there: 0.4, 0.2, 0.1 (less duplication) and 0.15."""
     parts = [(base, 0.4), (validation, 0.2), (F.when(duplication.isNotNull(), F.greatest(L(0.0), 1.0 - duplication)), 0.1), (links, 0.15)]
@@ -97,6 +154,21 @@ def improvement(score: Column) -> Column:
     return F.round(F.greatest(L(0.0), (score - 0.6) / 0.4), 8)
 
 
+#: AG18: names of similarities, from which on; changes of a score by more than 0.1 (fixed values).
+SIMILARITY_BANDS = [(0.95, "excellent"), (0.9, "good"), (0.8, "fair")]
+
+
+def similarity_band(similarity: Column) -> Column:
+    out = None
+    for limit, name in SIMILARITY_BANDS:
+        out = F.when(similarity >= limit, name) if out is None else out.when(similarity >= limit, name)
+    return out.otherwise("poor")
+
+
+def change_band(difference: Column) -> Column:
+    return F.when(difference > 0.1, "improved").when(difference < -0.1, "degraded").otherwise("stable")
+
+
 def regression_summary(compared: DataFrame, similarity: str = "similarity") -> DataFrame:
     """AG18: rows by band of similarity, with how many pass."""
     band = F.when(F.col(similarity) >= 0.95, "same").when(F.col(similarity) >= 0.8, "close").when(F.col(similarity) >= 0.5, "changed").otherwise("other")

@@ -7,6 +7,7 @@ Null and empty texts give no chunks; a text of at most ``size`` characters is on
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,30 +93,51 @@ def sections(text: str) -> list[str]:
     return out
 
 
-def pack_words(text: str, size: int) -> list[str]:
-    """Words packed up to ``size``; a full piece ends after its last whole sentence, what is left begins the next (CH11)."""
+_STOP = re.compile(r"[.!?]+\s+")
+
+
+def rule_split(text: str, size: int) -> list[str]:
+    """Words packed up to ``size`` characters, each counted with one space (CH11).
+
+    A full piece keeps its whole sentences, written again with ``. `` between them and a closing ``.``; the words of the last,
+    open sentence begin the next piece. A piece without a sentence end goes out as it is.
+    """
     out: list[str] = []
-    held = ""
+    held: list[str] = []
+    length = 0
     for word in text.split():
-        if held and len(held) + 1 + len(word) > size:
-            cut = max(held.rfind(m) for m in (". ", "! ", "? "))
-            piece, held = (held[: cut + 1], held[cut + 2 :]) if cut > 0 else (held, "")
-            out.append(piece.strip())
-        held = f"{held} {word}".strip()
-    if held:
-        out.append(held)
-    return out
+        if held and length + len(word) + 1 > size:
+            *whole, rest = _STOP.split(" ".join(held))
+            out.append(". ".join(whole) + "." if whole else rest)
+            held = rest.split() if whole else []
+            length = len(rest) if whole else 0
+        held.append(word)
+        length += len(word) + 1
+    return out + ([" ".join(held)] if held else [])
+
 
+#: What a splitting model puts between its pieces (fixed value).
+SEPARATOR = "---CHUNK_SEPARATOR---"
+Splitter = Callable[[str, int], "str | None"]
 
-def semantic_chunks(text: str | None, size: int = SIZE) -> list[str]:
-    """Sections packed greedily up to ``size``; one that is larger is split by words (CH9, CH12)."""
+
+def split_section(section: str, size: int, most: int, splitter: Splitter | None = None) -> list[str]:
+    """CH10: the pieces a model gives, those over ``most`` split by rule; by rule alone without a model or an answer."""
+    answer = splitter(section, size) if splitter else None
+    pieces = [p.strip() for p in (answer or "").split(SEPARATOR) if p.strip()]
+    checked = [x for p in pieces for x in ([p] if len(p) <= most else rule_split(p, size))]
+    return checked or rule_split(section, size)
+
+
+def semantic_chunks(text: str | None, size: int = SIZE, most: int | None = None, splitter: Splitter | None = None) -> list[str]:
+    """Sections packed greedily up to ``size``; one that is larger than ``most`` is split (CH9)."""
     out: list[str] = []
     held = ""
     for s in sections(text or ""):
-        if len(s) > size:
+        if len(s) > (most or size):
             out += [held] if held else []
             held = ""
-            out += pack_words(s, size)
+            out += split_section(s, size, most or size, splitter)
         elif held and len(held) + 2 + len(s) > size:
             out.append(held)
             held = s
@@ -124,6 +146,42 @@ def semantic_chunks(text: str | None, size: int = SIZE) -> list[str]:
     return out + ([held] if held else [])
 
 
+def document_chunks(text: str | None, size: int = 1000, most: int = 2000, semantic: bool = True, splitter: Splitter | None = None) -> list[str]:
+    """CH12: nothing for blank texts; sections for texts over ``size`` if wanted, by rule otherwise or if sections give nothing."""
+    if not (text or "").strip():
+        return []
+    if semantic and len(text) > size and (found := semantic_chunks(text, size, most, splitter)):
+        return found
+    return rule_split(text, size)
+
+
+def positions(text: str, chunks: list[str]) -> list[tuple[int, int]]:
+    """CH13: where each chunk stands, looked for after the one before; from there on where it can't be found."""
+    out, at = [], 0
+    for c in chunks:
+        start = text.find(c, at)
+        start = at if start < 0 else start
+        at = start + len(c)
+        out.append((start, at))
+    return out
+
+
+def document_rows(df: DataFrame, text: str = "content", size: int = 1000, most: int = 2000, semantic: bool = True) -> DataFrame:
+    """``df`` once per chunk (CH12, CH13): ``chunk_index, total_chunks, chunk, start, end, token_count``."""
+
+    @F.pandas_udf("array<struct<chunk: string, start: int, end: int>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            found = document_chunks(t, size, most, semantic)
+            return [{"chunk": c, "start": a, "end": b} for c, (a, b) in zip(found, positions(t or "", found))]
+
+        return texts.map(one)
+
+    rows = df.withColumn("_cut", cut(F.col(text)))
+    rows = rows.select(*df.columns, F.size("_cut").alias("total_chunks"), F.posexplode("_cut").alias("chunk_index", "_c")).select(*df.columns, "chunk_index", "total_chunks", "_c.*")
+    return rows.withColumn("token_count", F.floor(F.length("chunk") / 4).cast("int"))
+
+
 def chunk_rows(df: DataFrame, text: str = "content", size: int = SIZE, semantic: bool = False) -> DataFrame:
     """``df`` once per chunk, with ``chunk_index`` (from 0), ``chunk``, ``token_count`` (a quarter of the characters)."""
 
@@ -136,6 +194,13 @@ def chunk_rows(df: DataFrame, text: str = "content", size: int = SIZE, semantic:
 
 
 def check_chunks(chunks: DataFrame, text: str = "chunk") -> DataFrame:
-    """``chunks`` with ``odd_fence`` and ``empty_fence`` (CH6): a fence without its partner, a block without text."""
-    runs = F.regexp_count(F.col(text), F.lit("```"))
-    return chunks.withColumns({"odd_fence": runs % 2 == 1, "empty_fence": F.col(text).rlike(r"```[a-zA-Z0-9_]*\n\s*```")})
+    """``chunks`` with what is wrong with their fences (CH6).
+
+    ``odd_fence``: a fence without its partner, ``orphan_close`` where the chunk ends with one and ``orphan_open`` elsewhere;
+    ``empty_fence``: a block without text; ``merged``: a definition run together with its keyword, in chunks with fences.
+    """
+    t = F.col(text)
+    runs = F.regexp_count(t, F.lit("```"))
+    odd, closes = runs % 2 == 1, t.rlike(r"```\s*\z")
+    merged = (runs > 0) & t.rlike(r"(async|function|def)([a-zA-Z_][a-zA-Z0-9_]*)")
+    return chunks.withColumns({"odd_fence": odd, "orphan_close": odd & closes, "orphan_open": odd & ~closes, "empty_fence": t.rlike(r"```[a-zA-Z0-9_]*\n\s*```"), "merged": merged})

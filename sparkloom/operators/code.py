@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import white_words
@@ -91,8 +92,6 @@ def fenced_blocks(df: DataFrame, key: str, text: str, least: int = 25) -> DataFr
     named = (F.col("_first") != "") & ~F.contains("_first", L(" ")) & (F.length("_first") < 20)
     body = F.regexp_replace(F.when(named, F.regexp_replace("_part", r"^[^\n]*\n", "")).otherwise(F.col("_part")), r"^\s+|\s+$", "")
     kept = rows.select(key, "_i", F.when(named, F.col("_first")).otherwise("").alias("hint"), body.alias("code")).filter(F.length("code") >= least)
-    from pyspark.sql import Window as W
-
     return kept.withColumn("block", F.row_number().over(W.partitionBy(key).orderBy("_i")).cast("int")).select(key, "block", "hint", "code")
 
 
@@ -187,3 +186,50 @@ def identifiers(code: Column, lang: Column) -> Column:
     names = names.when(lang == "java", every(r"class\s+(\w+)", r"(?:public|private|protected)?\s*\w+\s+(\w+)\s*\("))
     names = names.when(lang == "sql", every(r"(?i)FROM\s+(\w+)", r"(?i)JOIN\s+(\w+)"))
     return F.slice(names.otherwise(F.array().cast("array<string>")), 1, 10)
+
+
+def block_contexts(df: DataFrame, key: str, text: str, least: int = 25, reach: int = 1000) -> DataFrame:
+    """The blocks of :func:`fenced_blocks` (CD1) with ``start_line, end_line`` (from 0) and ``before, after``: up to ``reach`` characters around them, stripped."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    parts = F.split(F.col(text), "```")
+    rows = df.filter(F.contains(F.col(text), L("```"))).select(key, parts.alias("_p"), F.explode(F.sequence(L(1), F.size(parts) - 2)).alias("_i")).filter((F.col("_i") % 2 == 1) & (F.col("_i") < F.size("_p") - 1))
+    head, part = F.array_join(F.slice("_p", L(1), F.col("_i")), "```"), F.get("_p", F.col("_i"))
+    tail = F.array_join(F.slice("_p", F.col("_i") + 2, F.size("_p")), "```")
+    first = F.trim(strip(F.regexp_extract(part, r"^([^\n]*)\n", 1)))
+    named = (first != "") & ~F.contains(first, L(" ")) & (F.length(first) < 20)
+    body = strip(F.when(named, F.regexp_replace(part, r"^[^\n]*\n", "")).otherwise(part))
+    rows = rows.select(key, "_i", F.when(named, first).otherwise("").alias("hint"), body.alias("code"), head.alias("_head"), tail.alias("_tail")).filter(F.length("code") >= least)
+    lines = lambda c: F.regexp_count(c, L("\n"))
+    cut = F.when(F.length("_head") > reach, F.substring(F.col("_head"), -reach, reach)).otherwise(F.col("_head"))
+    block = F.row_number().over(W.partitionBy(key).orderBy("_i")).cast("int")
+    return rows.select(key, block.alias("block"), "hint", "code", lines(F.col("_head")).alias("start_line"), (lines(F.col("_head")) + lines(F.col("code"))).alias("end_line"), strip(cut).alias("before"), strip(F.substring("_tail", 1, reach)).alias("after"))
+
+
+def indented_blocks(text: Column) -> Column:
+    """CD2: runs of lines that are indented by four blanks or a tab, without that indentation; blank runs are left out."""
+    runs = F.regexp_extract_all(F.concat(text, L("\n")), L(r"(?m)((?:^(?:    |\t)[^\n]*\n)+)"), 1)
+    bare = F.transform(runs, lambda r: F.regexp_replace(F.regexp_replace(r, r"(?m)^(?:    |\t)", ""), r"^\s+|\s+$", ""))
+    return F.filter(bare, lambda r: r != "")
+
+
+def context_headers(before: Column, after: Column) -> Column:
+    """CD16: the headers around a block as ``h2: Title``, first those of ``before`` and ``after`` each twice (as they stand and with lines stripped), five at most."""
+    stripped = lambda c: F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""), "\n")
+
+    def own(c: Column) -> Column:
+        named = F.regexp_extract_all(c, L(r"(?m)^(#+[ \t]+[^\n]+)$"), 1)
+        return F.transform(named, lambda x: F.concat(L("h"), F.length(F.regexp_extract(x, "^(#+)", 1)).cast("string"), L(": "), F.regexp_replace(F.regexp_extract(x, r"^#+\s+(.*)$", 1), r"^\s+|\s+$", "")))
+
+    return F.slice(F.concat(own(before), own(stripped(before)), own(after), own(stripped(after))), 1, 5)
+
+
+def block_metadata(code: Column, lang: Column, before: Column, after: Column) -> dict[str, Column]:
+    """CD17: what is stored beside a block, but for its own columns."""
+    lines, names = F.split(code, "\n"), identifiers(code, lang)
+    filled, words = F.size(F.filter(lines, lambda x: ~x.rlike(r"^\s*$"))), F.size(white_words(code))
+    return {
+        "context_before": F.when(F.length(before) > 500, F.substring(before, -500, 500)).otherwise(before), "context_after": F.substring(after, 1, 500), "char_count": F.length(code), "word_count": words, "line_count": F.size(lines),
+        "non_empty_line_count": filled, "code_density": F.round(filled / F.size(lines), 2), "identifiers": names, "has_comments": code.rlike(r"#|//|/\*|\*/|\'\'\'|\"\"\""), "has_strings": code.rlike("[\"']"),
+        "has_loops": code.rlike(r"(?i)\b(?:for|while|do)\b"), "has_conditions": code.rlike(r"(?i)\b(?:if|else|elif|switch|case)\b"), "surrounding_headers": context_headers(before, after),
+        "reading_minutes": F.greatest(L(1), F.floor(words / 200).cast("int")), "nesting": nesting(code, lang), "cyclomatic": cyclomatic(code), "unique_identifiers": F.size(F.array_distinct(names)),
+    }

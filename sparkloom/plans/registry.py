@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["retrieval", "admin", "pages", "code", "more", "checks", "analysis", "acquire"]
+MODULES = ["retrieval", "admin", "pages", "code", "more", "checks", "analysis", "acquire", "complete"]
 
 
 def _all(name: str) -> dict:
