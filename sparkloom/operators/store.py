@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.functions.text import white_words
+from sparkloom.session import cut_lineage
 
 
 def replace_by_url(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -47,13 +48,18 @@ def source_totals(pages: DataFrame) -> DataFrame:
 def upsert_sources(existing: DataFrame, totals: DataFrame, overwrite: bool) -> DataFrame:
     """``url, source_id, total_words``: existing sources and those of ``totals`` (SNK3 keeps an existing total, SNK4 overwrites it).
 
-    New sources get ids after the largest existing one, in the order of their urls. The numbering runs over new urls only.
+    New sources get ids after the largest existing one, in the order of their urls: they are ranged by url, counted per range
+    and numbered within it, so no task sees them all.
     """
     old = existing.groupBy("url").agg(F.min("source_id").alias("source_id"), F.max("total_word_count").cast("long").alias("_old"))
     both = old.join(totals.select("url", "total_words"), "url", "full")
     new_first = both.filter(F.col("source_id").isNull())
     most = existing.agg(F.coalesce(F.max("source_id"), F.lit(0)).alias("_m"))
-    numbered = new_first.crossJoin(F.broadcast(most)).withColumn("source_id", (F.col("_m") + F.row_number().over(W.orderBy("url"))).cast("int")).drop("_m")
+    ranged = cut_lineage(new_first.repartitionByRange("url").withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # a row per partition
+    before = counts.select("_part", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_m") + F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("url"))
+    numbered = ranged.join(F.broadcast(before), "_part").crossJoin(F.broadcast(most)).withColumn("source_id", place.cast("int")).drop("_m", "_part", "_before")  # one row
     every = both.filter(F.col("source_id").isNotNull()).unionByName(numbered)
     words = F.coalesce("total_words", "_old") if overwrite else F.coalesce("_old", "total_words")
     return every.select("url", "source_id", words.alias("total_words"))
@@ -80,3 +86,9 @@ def delete_cascade(parent: DataFrame, children: dict[str, DataFrame], key: str,
 def delete_prefix(df: DataFrame, prefix: str, column: str = "url") -> DataFrame:
     """Rows whose column does not start with the prefix (SNK7); null stays."""
     return df.filter(F.coalesce(~F.startswith(F.col(column), F.lit(prefix)), F.lit(True)))
+
+
+def register(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a temporary view (SNK9), read back from it."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)

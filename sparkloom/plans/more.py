@@ -44,6 +44,24 @@ def src8_link_walk(spark: SparkSession, d: str) -> DataFrame:
     return crawl.walk(edges, roots, 3)
 
 
+def src8_page_links(spark: SparkSession, d: str) -> DataFrame:
+    """SRC8, FLT14: what the links of the pages lead to from the sources' addresses and first pages, inside the sources alone, in three steps."""
+    pages, sources = table(spark, d, "crawled_pages"), table(spark, d, "sources")
+    links = crawl.within(crawl.page_links(pages), sources.select(F.col("url").alias("prefix")))
+    seeds = pages.filter(F.col("chunk_number") == 0).select("url").union(sources.select("url"))
+    return crawl.walk(links, seeds, 3)
+
+
+def snk9_unmatched_view(spark: SparkSession, d: str) -> DataFrame:
+    """SNK9: pages without a source as a temporary view, counted by host."""
+    from sparkloom.functions.text import host
+    from sparkloom.operators import store
+
+    rows = table(spark, d, "crawled_pages").filter(F.col("source_id").isNull()).select(host(F.col("url")).alias("host"))
+    store.register(rows, "sparkloom_unmatched")
+    return spark.sql("SELECT host, count(*) AS n FROM sparkloom_unmatched GROUP BY host")
+
+
 def src6_successful_pages(spark: SparkSession, d: str) -> DataFrame:
     return crawl.successful(table(spark, d, "crawled_pages")).select("id", "url")
 
@@ -74,7 +92,7 @@ def qe2_coherence(spark: SparkSession, d: str) -> DataFrame:
     return sums.groupBy("label").agg(F.max("n").alias("n"), F.round(F.try_divide(F.sum(F.col("s") * F.col("s")) - F.max("n"), F.max("n") * (F.max("n") - 1)), 6).alias("avg_cosine"))
 
 
-QUERIES = {f.__name__: f for f in (ch5_markdown_chunks, ch9_semantic_chunks, ch6_chunk_checks, ch7_chunk_sizes, src8_link_walk, src6_successful_pages, ag16_latency, rt11_baseline_comparison, ag21_memory_slope, qe2_coherence)}
+QUERIES = {f.__name__: f for f in (ch5_markdown_chunks, ch9_semantic_chunks, ch6_chunk_checks, ch7_chunk_sizes, src8_link_walk, src8_page_links, snk9_unmatched_view, src6_successful_pages, ag16_latency, rt11_baseline_comparison, ag21_memory_slope, qe2_coherence)}
 
 
 def _latency(where: str) -> str:
@@ -95,6 +113,12 @@ SQL = {
         e AS (SELECT regexp_replace(dst, '/[^/]+/?$', '') AS src, dst FROM p WHERE regexp_matches(regexp_replace(dst, '/[^/]+/?$', ''), '^https?://') AND regexp_replace(dst, '/[^/]+/?$', '') <> dst),
         w(url, depth) AS (SELECT dst, 0 FROM p WHERE regexp_matches(dst, '^https?://[^/]+$') UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 3)
         SELECT url, min(depth) AS depth FROM w GROUP BY url""",
+    "src8_page_links": r"""WITH RECURSIVE l AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS src, unnest(regexp_extract_all(content, '\[[^\]]*\]\(([^)\s]+)\)', 1)) AS u FROM crawled_pages WHERE url IS NOT NULL),
+        a AS (SELECT DISTINCT src, regexp_replace(CASE WHEN starts_with(u, '/') AND regexp_extract(src, '^([a-zA-Z]+://[^/?#]+)', 1) <> '' THEN regexp_extract(src, '^([a-zA-Z]+://[^/?#]+)', 1) || u WHEN regexp_matches(u, '^https?://') THEN u END, '#.*$', '') AS dst FROM l),
+        e AS (SELECT DISTINCT src, dst FROM a JOIN (SELECT DISTINCT regexp_replace(url, '[#?].*$', '') AS p FROM sources WHERE url IS NOT NULL) ON starts_with(dst, p)),
+        w(url, depth) AS (SELECT regexp_replace(url, '#.*$', ''), 0 FROM (SELECT url FROM crawled_pages WHERE chunk_number = 0 UNION ALL SELECT url FROM sources) WHERE url IS NOT NULL UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 3)
+        SELECT url, min(depth) AS depth FROM w GROUP BY url""",
+    "snk9_unmatched_view": "SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, count(*) AS n FROM crawled_pages WHERE source_id IS NULL GROUP BY 1",
     "ag16_latency": _latency("true"),
     "rt11_baseline_comparison": f"""WITH a AS ({_latency("query IS NOT NULL AND measured_at >= TIMESTAMPTZ '2024-07-01 00:00:00+00'")}), b AS ({_latency("query IS NOT NULL AND measured_at < TIMESTAMPTZ '2024-07-01 00:00:00+00'")}),
         c AS (SELECT a.query, {_pct('avg_ms')} AS time_pct, {_pct('avg_memory')} AS memory_pct, {_pct('avg_results')} AS results_pct, b.query IS NOT NULL AS has FROM a LEFT JOIN b ON a.query = b.query)

@@ -48,16 +48,20 @@ def rt6_code_search(spark: SparkSession, d: str) -> DataFrame:
 
 def rt7_rerank(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "crawled_pages")
-    found = hybrid.search_pages(pages, TEXT_QUERY, vector.query_vector(pages), 30)
-    texts = F.broadcast(found).join(pages.select("id", "content"), "id")
-    return hybrid.rerank(texts, "content", TEXT_QUERY).select("position", "id", "rerank_score", "prev_rank", "text_rank", "vector_rank")
+    found = hybrid.search_pages(pages, TEXT_QUERY, vector.query_vector(pages), 30, more=("content",))
+    return hybrid.rerank(found, "content", TEXT_QUERY).select("position", "id", "rerank_score", "prev_rank", "text_rank", "vector_rank")
+
+
+def rt8_contextual_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search of RT5 over contextual rows, marked as such."""
+    return rt3_hybrid_rrf_pages(spark, d).withColumn("contextual", F.lit(True))
 
 
 def rt9_overlap_relevance(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.overlap_search(table(spark, d, "search_metrics"), table(spark, d, "crawled_pages"), "id", "content").select("query", "id", "relevance", "place")
 
 
-QUERIES = {f.__name__: f for f in (rt1_vector_match, rt1_vector_match_filtered, rt2_fulltext_rank, flt11_websearch_match, rt3_hybrid_rrf_pages, rt5_hybrid_rrf_source, rt6_code_search, rt7_rerank, rt9_overlap_relevance)}
+QUERIES = {f.__name__: f for f in (rt1_vector_match, rt1_vector_match_filtered, rt2_fulltext_rank, flt11_websearch_match, rt3_hybrid_rrf_pages, rt5_hybrid_rrf_source, rt6_code_search, rt7_rerank, rt8_contextual_search, rt9_overlap_relevance)}
 
 
 def _usable(t: str, where: str = "true") -> str:
@@ -121,3 +125,4 @@ SQL = {
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY relevance DESC, id) AS INTEGER) AS place FROM s)
         SELECT query, id, relevance, place FROM r WHERE place <= 10""",
 }
+SQL["rt8_contextual_search"] = f"SELECT *, true AS contextual FROM ({SQL['rt3_hybrid_rrf_pages']})"

@@ -17,7 +17,7 @@ def sitemap_urls(df: DataFrame, xml: str = "xml") -> DataFrame:
 def expand_sitemaps(documents: DataFrame, roots: DataFrame, limit: int = 50, depth: int = 5) -> DataFrame:
     """``url``: pages of the ``roots`` (``url``) by the stored sitemaps (``url, xml``), indexes followed; the first ``limit`` by name (SRC3).
 
-    A sitemap met again is not read again, so a cycle ends.
+    A sitemap met again is not read again, so a cycle ends. Indexes nested deeper than ``depth`` raise an error.
     """
     frontier, seen, pages = roots.select("url").distinct(), roots.select("url").distinct(), None
     for _ in range(depth):
@@ -29,13 +29,39 @@ def expand_sitemaps(documents: DataFrame, roots: DataFrame, limit: int = 50, dep
         if frontier.isEmpty():
             break
         seen = cut_lineage(seen.union(frontier))
+    else:
+        raise ValueError(f"sitemap indexes are nested deeper than {depth}")
     return pages.distinct().orderBy("url").limit(limit)
 
 
-def url_list(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
-    """``url``: the lines of a text file that are http addresses, in order of the file's lines, ``limit`` of them (SRC4)."""
+def url_list(spark: SparkSession, path: str, limit: int | None = 50, any_line: bool = False) -> DataFrame:
+    """``url``: the lines of a text file that are http addresses (or ``any_line`` that isn't blank), in order, ``limit`` of them or all (SRC4)."""
     lines = spark.read.text(path).select(F.trim("value").alias("url"), F.monotonically_increasing_id().alias("_n"))
-    return lines.filter(F.col("url").rlike("^https?://")).orderBy("_n").limit(limit).select("url")
+    own = lines.filter(F.col("url") != "" if any_line else F.col("url").rlike("^https?://"))
+    return own.select("url") if limit is None else own.orderBy("_n").limit(limit).select("url")
+
+
+def golden_files(spark: SparkSession, path: str) -> DataFrame:
+    """``name, content``: markdown files without the comment of metadata that they begin with, up to a line ``-->`` (SRC10)."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.input_file_name().alias("_f"), "value")
+    name = F.regexp_extract("_f", r"([^/]+)\.md$", 1)
+    return files.select(name.alias("name"), F.regexp_replace("value", r"(?s)\A[^\n]*\n(?:.*?\n)??[ \t\r]*-->[ \t\r]*(?:\n|\z)", "").alias("content"))
+
+
+def page_links(pages: DataFrame, url: str = "url", content: str = "content") -> DataFrame:
+    """``src, dst``: the links of markdown pages that lead to web addresses; those that begin with ``/`` belong to the page's site."""
+    found = F.explode(F.regexp_extract_all(F.col(content), F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), 1))
+    rows = pages.filter(F.col(url).isNotNull()).select(F.regexp_replace(url, "#.*$", "").alias("src"), found.alias("_u"))
+    site = F.regexp_extract("src", r"^([a-zA-Z]+://[^/?#]+)", 1)
+    whole = F.when(F.startswith("_u", F.lit("/")) & (site != ""), F.concat(site, "_u")).when(F.col("_u").rlike("^https?://"), F.col("_u"))
+    return rows.select("src", F.regexp_replace(whole, "#.*$", "").alias("dst")).filter("dst is not null").distinct()
+
+
+def within(links: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``links`` whose ``dst`` starts with one of the ``prefixes`` (``prefix``: addresses of sites, FLT14): matched by site first, so it is an equi-join."""
+    site = lambda c: F.regexp_extract(c, r"^([a-zA-Z]+://[^/?#]+)", 1)
+    own = prefixes.filter(F.col("prefix").isNotNull()).select(F.regexp_replace("prefix", "[#?].*$", "").alias("_p")).distinct().withColumn("_site", site(F.col("_p")))
+    return links.withColumn("_site", site(F.col("dst"))).join(own, "_site").filter(F.startswith("dst", F.col("_p"))).select("src", "dst").distinct()
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:

@@ -73,3 +73,55 @@ def test_links_and_terms_of_chunks(spark):
     df = spark.createDataFrame([(t,)], "t string")
     assert df.select(*[c.alias(n) for n, c in advice.chunk_links(F.col("t")).items()]).first().asDict() == {"links": 6, "internal": 1, "external": 3, "broken": 1}
     assert df.select(advice.glossary_terms(F.col("t"))).first()[0] == ["Term here", "Bold", "Head"]
+
+
+def test_rerank_takes_any_scorer_and_falls_back(spark):
+    df = spark.createDataFrame([(1, "a b", 0.9), (2, "b c", 0.8), (3, None, 0.7)], "id long, t string, rrf_score double")
+    from sparkloom.operators import hybrid
+
+    order = lambda scorer: [r["id"] for r in hybrid.rerank(df, "t", "c", keep=3, scorer=scorer).orderBy("position").collect()]
+    assert order(hybrid.word_overlap) == [2, 1, 3] and order(None) == [1, 2, 3]
+    assert order(lambda q, t: F.length(t).cast("double") * F.when(F.contains(t, F.lit("a")), 2.0).otherwise(-1.0)) == [1, 2, 3]
+
+
+def test_overlap_search_by_row_and_by_word(spark, monkeypatch):
+    from sparkloom.operators import hybrid
+
+    queries = spark.createDataFrame([("a b",), ("a b",), ("c",), (None,), ("--",)], "query string")
+    docs = spark.createDataFrame([(1, "a x"), (2, "B a!"), (3, None), (4, "zz"), (5, "c a")], "id int, t string")
+    got = []
+    for sent in (hybrid.SENT_QUERIES, 0):
+        monkeypatch.setattr(hybrid, "SENT_QUERIES", sent)
+        got.append(sorted(tuple(r) for r in hybrid.overlap_search(queries, docs, "id", "t", 2).collect()))
+    assert got[0] == got[1] == [("a b", 1, 0.5, 2), ("a b", 2, 1.0, 1), ("c", 5, 1.0, 1)]
+
+
+def test_new_sources_are_numbered_in_order_of_their_urls(spark):
+    from sparkloom.operators import store
+
+    old = spark.createDataFrame([("u05", 7, 1)], "url string, source_id int, total_word_count int")
+    new = spark.createDataFrame([(f"u{i:02}", i) for i in range(40)], "url string, total_words long")
+    got = {r["url"]: r["source_id"] for r in store.upsert_sources(old, new, False).collect()}
+    rest = [f"u{i:02}" for i in range(40) if i != 5]
+    assert got == {"u05": 7} | {u: 8 + i for i, u in enumerate(rest)}
+
+
+def test_files_links_and_prefixes(spark, tmp_path):
+    import pytest
+
+    from sparkloom.sources import crawl
+
+    (tmp_path / "g.md").write_text("<!--\nscore: 1\n-->\n# Text\n--> stays\n")
+    (tmp_path / "n.md").write_text("# No comment\n")
+    assert {r["name"]: r["content"] for r in crawl.golden_files(spark, str(tmp_path)).collect()} == {"g": "# Text\n--> stays\n", "n": "# No comment\n"}
+    (tmp_path / "u.txt").write_text("https://a\nplain\n\n http://b \n")
+    assert [r[0] for r in crawl.url_list(spark, str(tmp_path / "u.txt"), None).collect()] == ["https://a", "http://b"]
+    assert crawl.url_list(spark, str(tmp_path / "u.txt"), None, any_line=True).count() == 3
+    pages = spark.createDataFrame([("https://s.x/a#f", "[t](/b#q) [u](https://o.x/c) [v](rel) [w](https://s.x/z)"), (None, "[t](/b)")], "url string, content string")
+    links = crawl.page_links(pages)
+    assert sorted(tuple(r) for r in links.collect()) == [("https://s.x/a", "https://o.x/c"), ("https://s.x/a", "https://s.x/b"), ("https://s.x/a", "https://s.x/z")]
+    own = crawl.within(links, spark.createDataFrame([("https://s.x/b",), (None,)], "prefix string"))
+    assert [r["dst"] for r in own.collect()] == ["https://s.x/b"]
+    maps = spark.createDataFrame([(f"m{i}", f"<loc>m{i + 1}</loc>") for i in range(9)], "url string, xml string")
+    with pytest.raises(ValueError):
+        crawl.expand_sitemaps(maps, maps.filter("url = 'm0'").select("url"))
