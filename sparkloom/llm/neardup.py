@@ -6,7 +6,9 @@ texts need few steps; the steps run over all texts of a batch at once.
 
 Exact copies are collapsed before the signatures: one representative per distinct word sequence goes on. A banded
 signature only proposes pairs; each is checked on its distinct shingles. Pairs are expanded to copies afterwards,
-see :func:`near_pairs`.
+see :func:`near_pairs`. A band of more than ``HOT`` texts (a template on a million pages) is not joined with itself: it is
+cut into blocks of ``BLOCK``, block meets block in tasks of their own, and of their pairs only those go on whose
+signatures agree in as many slots as a similar pair's do, less ``SLACK``.
 
 Null texts and texts under ``min_words`` words take no part. Repeated rows (same key and text) count once. Shuffled are
 bands (16 bytes each) and, for proposed pairs, shingle hashes; nothing is collected.
@@ -27,6 +29,8 @@ from sparkloom.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+")
 SLOTS, ROWS_PER_BAND = 128, 4
+#: Texts of a band from which it is cut into blocks, texts of a block, and how far the share of equal slots may lie under the threshold (five standard deviations).
+HOT, BLOCK, SLACK = 512, 1024, 0.22
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -97,7 +101,7 @@ def bands_of(sig: np.ndarray, rows: int = ROWS_PER_BAND) -> np.ndarray:
 
 
 def _signed(df: DataFrame, key: str, text: str, kind: str, width: int, min_words: int, slots: int, rows: int) -> DataFrame:
-    """``_key, _c1, _c2, _bands`` of the rows with enough words; rows of equal words share the class (_c1, _c2)."""
+    """``_key, _c1, _c2, _bands, _sketch`` of the rows with enough words; rows of equal words share the class (_c1, _c2). ``_sketch``: a byte of each slot."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -116,11 +120,12 @@ def _signed(df: DataFrame, key: str, text: str, kind: str, width: int, min_words
                         "_c1": [int.from_bytes(x[:8], "little", signed=True) for x in whole],
                         "_c2": [int.from_bytes(x[8:], "little", signed=True) for x in whole],
                         "_bands": list(bands_of(sig, rows)),
+                        "_sketch": [x.tobytes() for x in (mix(sig.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)],
                     }
                 )
 
     rows_ = df.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows_.mapInPandas(sign, f"_key {kind}, _c1 long, _c2 long, _bands array<long>")
+    return rows_.mapInPandas(sign, f"_key {kind}, _c1 long, _c2 long, _bands array<long>, _sketch binary")
 
 
 def near_pairs(
@@ -144,14 +149,41 @@ def near_pairs(
     # Every row is a representative unless it is a later copy.
     bands = signed.join(later, "_key", "left_anti").select(F.col("_key").alias("_rep"), F.explode("_bands").alias("_band"))
     texts = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_rep"), F.col(text).alias("_text"))
-    met = bands.groupBy("_band").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("_band")
-    busy = cut_lineage(bands.join(met, "_band", "left_semi"))
-    a, b = busy.withColumnRenamed("_rep", "_a"), busy.withColumnRenamed("_rep", "_b")
-    proposed = a.join(b, "_band").filter("_a < _b").select("_a", "_b").distinct()
+    met = bands.groupBy("_band").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    busy = cut_lineage(bands.join(met, "_band"))
+    cold = busy.filter(F.col("_m") <= HOT).select("_rep", "_band")
+    a, b = cold.withColumnRenamed("_rep", "_a"), cold.withColumnRenamed("_rep", "_b")
+    proposed = a.join(b, "_band").filter("_a < _b").select("_a", "_b")
+    sketches = signed.select(F.col("_key").alias("_rep"), "_sketch")
+    hot = busy.filter(F.col("_m") > HOT).join(sketches, "_rep")
+    proposed = proposed.unionByName(_hot_pairs(hot, kind, threshold - SLACK)).distinct()
     links = _verified(proposed, texts, kind, width, threshold)
     return _expanded(links, members, key, expand_limit)
 
 
+def _hot_pairs(hot: DataFrame, kind: str, least: float) -> DataFrame:
+    """``_a, _b`` of the pairs in bands (``_rep, _band, _m, _sketch``) whose sketches have a share of ``least`` equal bytes."""
+    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    own = hot.withColumn("_x", F.pmod(F.xxhash64(F.lit("block"), "_rep"), blocks).cast("int"))
+    # A row goes to every pair of blocks that its own is part of.
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    sent = own.select("_rep", "_band", "_sketch", "_x", other.alias("_y")).select("_rep", "_band", "_sketch", "_x", F.least("_x", "_y").alias("_lo"), F.greatest("_x", "_y").alias("_hi"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
+        left, right = pdf[pdf["_x"] == lo], pdf[pdf["_x"] == hi]
+        one, two = (np.frombuffer(b"".join(p["_sketch"]), np.uint8).reshape(len(p), -1) for p in (left, right))
+        keys, others, out = left["_rep"].to_numpy(), right["_rep"].to_numpy(), []
+        for i in range(len(one)):
+            near = np.nonzero((two == one[i]).mean(1) >= least)[0]
+            a, b = np.minimum(keys[i], others[near]), np.maximum(keys[i], others[near])
+            differ = a != b
+            out.append(pd.DataFrame({"_a": a[differ], "_b": b[differ]}))
+        return pd.concat(out) if out else pd.DataFrame({"_a": [], "_b": []})
+
+    return sent.groupBy("_band", "_lo", "_hi").applyInPandas(compare, f"_a {kind}, _b {kind}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, kind: str, width: int, threshold: float) -> DataFrame:
     pairs = cut_lineage(pairs)
     needed = pairs.select(F.col("_a").alias("_rep")).union(pairs.select(F.col("_b").alias("_rep"))).distinct()
