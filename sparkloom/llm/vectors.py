@@ -32,8 +32,8 @@ from sparkloom.llm import sampling
 from sparkloom.session import cut_lineage
 
 TRAIN, BEAM, CELL, BLOCK, BOOKS, WORDS = 12_000, 12, 24, 2048, 10, 64
-#: Width of the beam after the cell is chosen.
-REFINE = 3
+#: Width of the beam after the cell is chosen; pairs that a query keeps of a block, by estimate, before they are compared exactly.
+REFINE, KEEP = 3, 64
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -239,13 +239,14 @@ def _ranked(near: DataFrame, reps: DataFrame, members: DataFrame, key: str, k: i
 def similar(df: DataFrame, key: str, vector: str, least: float = 0.9, k: int = 5, dim: int = 64, slack: float = 0.25) -> DataFrame:
     """``key, neighbour, cosine, rank``: of every usable vector the k most similar others with a cosine of at least ``least``.
 
-    Ties go to the smaller key. ``slack``: how far the estimate of a true pair may lie below ``least``; everything
-    above it is compared exactly.
+    Ties go to the smaller key. ``slack``: how far the estimate of a true pair may lie below ``least``; of what lies above
+    it, a query's ``KEEP`` best of each block are compared exactly, so dense cells don't give all their pairs. A true
+    neighbour is lost if ``KEEP`` others of its block look nearer by estimate; a test measures the recall in a dense cell.
     """
     kind = dict(df.dtypes)[key]
     reps, members = collapse(df, key, vector, dim)
     reps, members = cut_lineage(reps), cut_lineage(members)
-    found = propose(reps, kind, least - slack, None)
+    found = propose(reps, kind, least - slack, KEEP)
     pairs = found.select(F.least("_q", "_x").alias("_a"), F.greatest("_q", "_x").alias("_b")).distinct()
     near = cut_lineage(exact(cut_lineage(pairs), reps).filter(F.col("cosine") >= least))
     directed = near.unionByName(near.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "cosine"))
