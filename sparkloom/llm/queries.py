@@ -70,6 +70,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "crawled_pages")).select("id")
 
 
+def p5_validation(spark: SparkSession, d: str) -> DataFrame:
+    """How well the classifier does on hosts it has not seen."""
+    return residue.validation(table(spark, d, "crawled_pages"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return layout.site_lines(table(spark, d, "crawled_pages"))
 
@@ -99,7 +104,7 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p6_found, p6_body, p7_found, p7_source_words, p8_ids, p9_found, p9_edited, p10_found, p10_source_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p4_found, p4_groups, p5_found, p5_validation, p6_found, p6_body, p7_found, p7_source_words, p8_ids, p9_found, p9_edited, p10_found, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

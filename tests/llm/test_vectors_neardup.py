@@ -117,3 +117,42 @@ def test_groups(spark):
     df = spark.createDataFrame(pairs, "a long, b long")
     got = {r["member"]: r["group_id"] for r in neardup.groups(df, "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_hot_bands_lose_no_pair(spark, words, monkeypatch):
+    """A template on most rows: bands far over the bound, cut into several blocks."""
+    base = words(1, 60)
+    rows = []
+    for i in range(90):
+        own = base.split()
+        for j in range(i % 7):
+            own[(i * 11 + j * 13) % 60] = f"w{i}x{j}"
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, words(i + 50, 60)) for i in range(10)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(rows, "id long, content string").withColumn("_m", F.lit(1))
+    want = {tuple(r)[:2] for r in neardup.near_pairs(df, width=3, threshold=0.6).collect()}
+    monkeypatch.setattr(neardup, "HOT", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    got = {tuple(r)[:2] for r in neardup.near_pairs(df, width=3, threshold=0.6).collect()}
+    sets = {i: neardup.shingle_hashes(neardup.word_hashes(t), 3) for i, t in rows if t and len(t.split()) >= 30}
+    brute = set()
+    for a in sets:
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a < b and both >= 0.6 * len(np.union1d(sets[a], sets[b])):
+                brute.add((a, b))
+    assert len(brute) > 500 and got <= brute and want <= brute and len(got) >= 0.99 * len(brute) and len(got) >= len(want) - 2
+
+
+def test_a_dense_cell_keeps_its_nearest(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    x = centre + 0.2 * rng.normal(size=(700, 64))
+    df = spark.createDataFrame([(f"k{i:03}", v.tolist()) for i, v in enumerate(x)], "key string, embedding array<float>")
+    got = {(r["key"], r["neighbour"]) for r in vectors.similar(df, "key", "embedding").collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    want = {(f"k{i:03}", f"k{j:03}") for i in range(700) for j in np.argsort(-c[i])[:5] if c[i, j] >= 0.9}
+    assert len(want) > 3000 and len(want & got) >= 0.9 * len(want)
