@@ -325,6 +325,74 @@ def body_of(text: str, kinds: list[int]) -> str:
     return re.sub(r"\n\s*\n\s*\n+", "\n\n", kept).strip()
 
 
+# ------------------------------------------------------------------------------------------- the tree of a stored page
+
+_TAGS = {BODY: "p", CODE: "pre", TABLE: "table", HEADING: "heading", ITEM: "ul", SITE: "site", BLANK: "space"}
+
+
+def page_tree(text: str, kinds: list[int]) -> _Node:
+    """Markdown lines as the same tree that markup gives: blocks with a leaf per line, which knows its number (``order``, from 1).
+
+    A block ends with the lines of its kind; its end is implied, as markdown has no end tags. Deeper list items stand in
+    lists of their own. Blocks of site lines are hidden.
+    """
+    root = _Node("root", False)
+    lists: list[tuple[int, _Node]] = []
+    for i, (line, kind) in enumerate(zip(text.split("\n"), kinds)):
+        tag = _TAGS[kind]
+        if tag != "ul":
+            lists = []
+            if not root.parts or root.parts[-1].tag != tag:
+                root.parts.append(_Node(tag, tag == "site"))
+            block = root.parts[-1]
+        else:
+            depth = len(line) - len(line.lstrip())
+            while lists and lists[-1][0] > depth:
+                lists.pop()
+            if not lists or lists[-1][0] < depth:
+                block = _Node("ul", False)
+                (lists[-1][1] if lists else root).parts.append(block)
+                lists.append((depth, block))
+            block = lists[-1][1]
+        leaf = _Node("line", block.hidden, i + 1)
+        leaf.parts.append(line)
+        block.parts.append(leaf)
+    return root
+
+
+def leaves(node: _Node) -> Iterator[_Node]:
+    for p in node.parts:
+        if isinstance(p, _Node):
+            if p.tag == "line":
+                yield p
+            else:
+                yield from leaves(p)
+
+
+def _aligned(lines: list[str]) -> list[str]:
+    """Rows of a table with cells padded to the width of their column; a line that isn't a row stays as it is."""
+    rows = [[c.strip() for c in x.strip().strip("|").split("|")] if "|" in x else None for x in lines]
+    most = max((len(r) for r in rows if r), default=0)
+    rule = [r is not None and all(set(c) <= set("-: ") for c in r) for r in rows]
+    widths = [max((len(r[k]) for r, ruled in zip(rows, rule) if r and not ruled and k < len(r)), default=3) for k in range(most)]
+    fill = lambda r, ruled: [(c[:1] + "-" * max(1, widths[k] - 2) + c[-1:] if ruled and c else c.ljust(widths[k])) for k, c in enumerate(r)]
+    return [x if r is None else "| " + " | ".join(fill(r, ruled)) + " |" for x, r, ruled in zip(lines, rows, rule)]
+
+
+def render_page(root: _Node) -> str:
+    """The visible text of a page's tree: blocks spaced as they were (one empty line at most), lists as they stood, cells of tables aligned."""
+    out: list[str] = []
+    for block in root.parts:
+        if block.hidden:
+            continue
+        own = [leaf.parts[0] for leaf in leaves(block) if not leaf.hidden]
+        if block.tag == "space":
+            out += [""] if out and out[-1] else []
+        else:
+            out += _aligned(own) if block.tag == "table" and sum(x.lstrip().startswith("|") for x in own) > 1 else own
+    return "\n".join(out).strip("\n")
+
+
 # ------------------------------------------------------------------------------------------------- known site lines
 
 
@@ -408,17 +476,26 @@ def site_lines(df: DataFrame, key: str = "id", source: str = "source_id", text:
             for k, t, known in zip(batch["_key"], batch["_text"], known_of(batch)):
                 if residue.is_residue(t, known):
                     continue
-                for i, what in enumerate(label(t, known)):
-                    if what == SITE:
+                for leaf in leaves(page_tree(t, label(t, known))):
+                    if leaf.hidden:
                         keys.append(k)
-                        numbers.append(i + 1)
+                        numbers.append(leaf.order)
             yield pd.DataFrame({key: pd.Series(keys, dtype=batch["_key"].dtype), "line_no": pd.Series(numbers, dtype="int32")})
 
     return rows.drop("_source").mapInPandas(mark, f"{key} {kind}, line_no int")
 
 
+_MARKUP = re.compile(r"\s*(?:<!doctype html|<html\b|<body\b|<(?:div|main|article|section|p|h1)\b[^>]*>)", re.I)
+
+
+def _own_text(text: str, known: Container[int]) -> str:
+    if _MARKUP.match(text):
+        text = render_html(text) or ""
+    return text if residue.is_residue(text, known) else render_page(page_tree(text, label(text, known)))
+
+
 def main_text(df: DataFrame, source: str = "source_id", text: str = "content", out: str = "body") -> DataFrame:
-    """``df`` with ``out``: the page's own text; null for null text."""
+    """``df`` with ``out``: the visible text of each page (see :func:`render_page`); null for null text. Stored markup is rendered first."""
     names = df.columns
     rows, known_of = with_known(df, source, text)
     carried = "_site" if "_site" in rows.columns else "_known"
@@ -426,6 +503,6 @@ def main_text(df: DataFrame, source: str = "source_id", text: str = "content", o
     @F.pandas_udf("string")
     def own(texts: pd.Series, known: pd.Series) -> pd.Series:
         known_ = known_of(pd.DataFrame({carried: known}))
-        return pd.Series([None if t is None else t if residue.is_residue(t, k) else body_of(t, label(t, k)) for t, k in zip(texts, known_)], dtype="object")
+        return pd.Series([None if t is None else _own_text(t, k) for t, k in zip(texts, known_)], dtype="object")
 
     return rows.withColumn(out, own(F.col(text), F.col(carried))).select(*[c for c in names if c != out], out)

@@ -105,6 +105,22 @@ def test_render_html():
     assert layout.render_html(None) is None and layout.render_html("") == ""
 
 
+def test_page_tree_keeps_every_line_and_its_kind():
+    text = "# T\n\n- a\n  - b\n  - c\n- d\n\n\n| x | yyyy |\n|--|:--|\n| zz | q |\n\n```\n  code\n```\nlast\n© 2020 Acme. All rights reserved."
+    tree = layout.page_tree(text, layout.label(text, frozenset()))
+    found = list(layout.leaves(tree))
+    assert [x.order for x in found] == list(range(1, text.count("\n") + 2)) and [x.parts[0] for x in found] == text.split("\n")
+    assert [x.order for x in found if x.hidden] == [17] and [b.tag for b in tree.parts] == ["heading", "space", "ul", "space", "table", "space", "pre", "p", "site"]
+    assert [p.tag for p in tree.parts[2].parts] == ["line", "ul", "line"]
+    assert layout.render_page(tree) == "# T\n\n- a\n  - b\n  - c\n- d\n\n| x  | yyyy |\n| --- | :--- |\n| zz | q    |\n\n```\n  code\n```\nlast"
+    assert layout.render_page(layout.page_tree("", [layout.BLANK])) == ""
+
+
+def test_stored_markup_is_rendered(spark):
+    df = spark.createDataFrame([(1, None, "<div><p>Own words of the page, long enough.<ul><li>one<li>two</ul><p hidden>gone</div>")], "id long, source_id int, content string")
+    assert layout.main_text(df).first()["body"] == "Own words of the page, long enough.\n\n- one\n- two"
+
+
 def test_quality_classes(spark):
     rows, k = [], 0
     for c, text in quality.EXAMPLES:
