@@ -13,17 +13,19 @@ L = F.lit
 KINDS = {
     "breadcrumbs": [r"\bhome\s*[>/]\s*[a-z0-9_]+", r"[a-z0-9_]+\s*[>/]\s*[a-z0-9_]+\s*[>/]\s*[a-z0-9_]+", r"you\s+are\s+here", r"current\s+page", r"path:?\s*home"],
     "menu": [r"\b(menu|navigation|nav)\b", r"\b(skip\s+to|jump\s+to)\b", r"\b(toggle|hamburger|mobile\s+menu)\b", r"\b(search|filter|sort\s+by)\b", r"\b(previous|next|back|forward)\b\s*(page|section)?"],
-    "footer": [r"\b(copyright|\(c\))\b", r"\ball\s+rights\s+reserved\b", r"\bprivacy\s+policy\b", r"\bterms\s+of\s+(service|use)\b", r"\bcontact\s+us\b", r"\bfooter\b"],
+    "footer": [r"\b(copyright|©|\(c\))\b", r"\ball\s+rights\s+reserved\b", r"\bprivacy\s+policy\b", r"\bterms\s+of\s+(service|use)\b", r"\bcontact\s+us\b", r"\bfooter\b"],
     "sidebar": [r"\btable\s+of\s+contents\b", r"\bon\s+this\s+page\b", r"\bin\s+this\s+(section|chapter)\b", r"\brelated\s+(topics|articles|links)\b", r"\bsidebar\b"],
 }
+#: Forms of code, of explanations and of definitions (fixed values).
 CODE = [r"```[a-z0-9_]*\n[\s\S]*?\n```", r"`[^`\n]+`", r"(?m)^    [a-zA-Z0-9_]", r"<code>[\s\S]*?</code>", r"(?:function|class|def|const|let|var)\s+[a-zA-Z0-9_]+"]
 EXPLAINING = [r"\b(for example|such as|this means|in other words)\b", r"\b(to understand|to learn|to configure|to setup)\b", r"\b(step [0-9]+|first|second|third|finally|next)\b", r"\b(note:|important:|warning:|tip:)\b", r"\b(explanation|description|overview|introduction)\b"]
 GLOSSARY = [r"(?m)^[A-Z][a-zA-Z ]+:\s+[^.\n]+\.", r"(?m)^\*\*[A-Z][a-zA-Z ]+\*\*:?\s+[^.\n]+\."]
 #: Words of technical text (fixed values).
-TECHNICAL = (
-    "api endpoint method function parameter argument return response request header payload schema configuration setting option property attribute example tutorial guide documentation reference "
-    "install setup configure initialize implement workflow node trigger action execution pipeline"
-).split()
+TECHNICAL = [
+    "api", "endpoint", "method", "function", "parameter", "argument", "return", "response", "request", "header", "payload", "schema", "configuration",
+    "setting", "option", "property", "attribute", "example", "tutorial", "guide", "documentation", "reference", "install", "setup", "configure",
+    "initialize", "implement", "workflow", "node", "trigger", "action", "execution", "pipeline",
+]
 #: Patterns that code shows: in any language, then by language (fixed values).
 SHOWN = [("async", r"(?i)async"), ("await", r"(?i)await"), ("error_handling", r"(?i)\btry\b"), ("oop", r"(?i)\bclass\b"), ("interface", r"(?i)\binterface\b"), ("imports", r"(?i)\bimport\b")]
 SHOWN_BY = {
@@ -31,7 +33,8 @@ SHOWN_BY = {
     ("javascript", "typescript"): [("promises", "Promise"), ("arrow_functions", "=>"), ("functional_programming", r"\.(map|filter|reduce)\(")],
     ("sql",): [("joins", r"(?i)\bJOIN\b"), ("aggregation", r"(?i)\bGROUP\s+BY\b"), ("cte", r"(?i)\bWITH\b")],
 }
-TERMS = "api function method class example usage tutorial configuration setup installation documentation guide implementation algorithm pattern framework library utility helper tool service component module".split()
+#: Terms looked for around code (fixed values).
+TERMS = ["api", "function", "method", "class", "example", "usage", "tutorial", "configuration", "setup", "installation", "documentation", "guide", "implementation", "algorithm", "pattern", "framework", "library", "utility", "helper", "tool", "service", "component", "module"]
 
 
 def _any(text: Column, patterns: list[str]) -> Column:

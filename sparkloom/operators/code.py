@@ -10,7 +10,8 @@ from sparkloom.functions.text import white_words
 from sparkloom.operators.quality import any_of, total
 
 L = F.lit
-LANGUAGES = "python javascript typescript java cpp c csharp php ruby go rust sql html css shell yaml json xml unknown".split()
+#: Languages that are told apart (fixed values).
+LANGUAGES = ["python", "javascript", "typescript", "java", "cpp", "c", "csharp", "php", "ruby", "go", "rust", "sql", "html", "css", "shell", "yaml", "json", "xml", "unknown"]
 #: Other names of languages (fixed values).
 ALIASES = {"py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript", "c++": "cpp", "cc": "cpp", "cxx": "cpp", "cs": "csharp", "sh": "shell", "bash": "shell", "zsh": "shell", "fish": "shell", "yml": "yaml", "htm": "html"}
 #: Patterns that tell a language, in the order in which they are tried (fixed values). ``|``: the literals that do as well.

@@ -10,14 +10,14 @@ from sparkloom.functions.text import white_words
 L = F.lit
 #: Content types: words of an address that decide, then words of the text, in order (fixed values).
 TYPES: list[tuple[str, list[str], list[str]]] = [
-    ("technical", ["github.com", "docs.", "api.", "developer."], "api|function|class|method|parameter|returns|example:|installation|configuration|setup|import|usage|```|endpoint|request|response|library|framework".split("|")),
-    ("academic", ["arxiv.org", "scholar.google", "pubmed", "jstor"], "abstract|methodology|hypothesis|conclusion|references|study|research|analysis|findings|literature review|experiment|data|results|discussion|journal".split("|")),
-    ("forum", ["reddit.com", "stackoverflow", "forum", "discourse"], "posted by|reply|comment|question:|answer:|solved|upvoted|downvoted|thread|forum|discussion|feedback|opinion|experience|issue|problem|help".split("|")),
-    ("news", ["news.", "cnn.com", "bbc.com", "reuters"], "published|editor|reporter|breaking|update|announced|statement|press release|interview|according to|sources say|reuters|bloomberg|cnn".split("|")),
-    ("blog", ["medium.com", "substack", "blog"], "i think|in my opinion|personally|i believe|my experience|thoughts on|reflection|perspective|author:|written by|blog|post".split("|")),
-    ("social_media", ["twitter.com", "linkedin.com", "instagram.com", "facebook.com", "x.com"], "shared|retweet|like|follow|followers|trending|hashtag|#|@|posted on|social media|tweet|linkedin post|instagram|facebook|twitter|thread|viral|engagement|influencer".split("|")),
-    ("legal", ["law.", "legal", "court", "gov", "laws", "legislation"], "whereas|therefore|hereby|pursuant to|section|subsection|clause|contract|agreement|terms and conditions|legal|law|statute|regulation|court|jurisdiction|plaintiff|defendant|attorney|counsel|liability|damages|breach|compliance|shall|may not|provided that".split("|")),
-    ("educational", ["tutorial", "course", "learn", "education", "training", "udemy", "coursera", "khan"], "tutorial|how to|step by step|lesson|guide|course|learn|instruction|exercise|practice|assignment|module|chapter|beginner|intermediate|advanced|skill|training|workshop|walkthrough|demo|example|tip:|note:|important:|remember:|quick start|getting started".split("|")),
+    ("technical", ["github.com", "docs.", "api.", "developer."], ["api", "function", "class", "method", "parameter", "returns", "example:", "installation", "configuration", "setup", "import", "usage", "```", "endpoint", "request", "response", "library", "framework"]),
+    ("academic", ["arxiv.org", "scholar.google", "pubmed", "jstor"], ["abstract", "methodology", "hypothesis", "conclusion", "references", "study", "research", "analysis", "findings", "literature review", "experiment", "data", "results", "discussion", "journal"]),
+    ("forum", ["reddit.com", "stackoverflow", "forum", "discourse"], ["posted by", "reply", "comment", "question:", "answer:", "solved", "upvoted", "downvoted", "thread", "forum", "discussion", "feedback", "opinion", "experience", "issue", "problem", "help"]),
+    ("news", ["news.", "cnn.com", "bbc.com", "reuters"], ["published", "editor", "reporter", "breaking", "update", "announced", "statement", "press release", "interview", "according to", "sources say", "reuters", "bloomberg", "cnn"]),
+    ("blog", ["medium.com", "substack", "blog"], ["i think", "in my opinion", "personally", "i believe", "my experience", "thoughts on", "reflection", "perspective", "author:", "written by", "blog", "post"]),
+    ("social_media", ["twitter.com", "linkedin.com", "instagram.com", "facebook.com", "x.com"], ["shared", "retweet", "like", "follow", "followers", "trending", "hashtag", "#", "@", "posted on", "social media", "tweet", "linkedin post", "instagram", "facebook", "twitter", "thread", "viral", "engagement", "influencer"]),
+    ("legal", ["law.", "legal", "court", "gov", "laws", "legislation"], ["whereas", "therefore", "hereby", "pursuant to", "section", "subsection", "clause", "contract", "agreement", "terms and conditions", "legal", "law", "statute", "regulation", "court", "jurisdiction", "plaintiff", "defendant", "attorney", "counsel", "liability", "damages", "breach", "compliance", "shall", "may not", "provided that"]),
+    ("educational", ["tutorial", "course", "learn", "education", "training", "udemy", "coursera", "khan"], ["tutorial", "how to", "step by step", "lesson", "guide", "course", "learn", "instruction", "exercise", "practice", "assignment", "module", "chapter", "beginner", "intermediate", "advanced", "skill", "training", "workshop", "walkthrough", "demo", "example", "tip:", "note:", "important:", "remember:", "quick start", "getting started"]),
 ]
 #: In which order addresses are tried (fixed value).
 ADDRESS_ORDER = ["technical", "forum", "academic", "news", "blog", "social_media", "legal", "educational"]

@@ -21,9 +21,9 @@ NAVIGATION = [
     r"\b(search|search docs|search documentation)\b",
 ]
 #: Words that mark technical text (fixed values).
-TECHNICAL = "function method class variable parameter return example usage configuration installation api endpoint request response error exception".split()
+TECHNICAL = ["function", "method", "class", "variable", "parameter", "return", "example", "usage", "configuration", "installation", "api", "endpoint", "request", "response", "error", "exception"]
 #: Words of integration lists (fixed values).
-INTEGRATION = "integration credential connector node service api webhook plugin extension app".split()
+INTEGRATION = ["integration", "credential", "connector", "node", "service", "api", "webhook", "plugin", "extension", "app"]
 #: Strings that should not be left of HTML (fixed values).
 ARTIFACTS = ["</script>", "<footer>", "<nav>", "<header>", "<aside>", "</div>", "</span>", "<iframe", "onclick=", "javascript:", "&nbsp;", "&amp;", "&lt;", "&gt;"]
 #: Strings that show scripts (fixed values).

@@ -243,6 +243,8 @@ SQL = {
     "jn3_source_page_counts": """SELECT s.source_id, s.url, count(p.id) AS n_pages, count(DISTINCT p.url) AS n_urls FROM sources s LEFT JOIN crawled_pages p ON p.source_id = s.source_id GROUP BY s.source_id, s.url""",
     "jn4_two_way_fanout": """SELECT s.source_id, count(DISTINCT p.id) AS n_pages, count(DISTINCT c.id) AS n_code FROM sources s LEFT JOIN crawled_pages p ON p.source_id = s.source_id
         LEFT JOIN code_examples c ON c.source_id = s.source_id WHERE s.source_id BETWEEN 1 AND 100 GROUP BY s.source_id""",
+    "jn4_all_sources": """SELECT source_id, coalesce(n_pages, 0) AS n_pages, coalesce(n_code, 0) AS n_code FROM sources LEFT JOIN (SELECT source_id, count(id) AS n_pages FROM crawled_pages GROUP BY source_id) USING (source_id)
+        LEFT JOIN (SELECT source_id, count(id) AS n_code FROM code_examples GROUP BY source_id) USING (source_id)""",
     "jn5_sample_matches": "SELECT s.url AS site, count(*) AS n_rows, min(p.url) AS sample_url FROM crawled_pages p JOIN sources s ON s.source_id = p.source_id GROUP BY s.url ORDER BY n_rows DESC, site LIMIT 10",
     "jn6_orphan_pages": "SELECT p.id, p.source_id FROM crawled_pages p LEFT JOIN sources s ON s.source_id = p.source_id WHERE p.source_id IS NOT NULL AND s.source_id IS NULL",
     "jn7_sources_with_code": "SELECT source_id, url FROM sources WHERE source_id IN (SELECT source_id FROM code_examples)",

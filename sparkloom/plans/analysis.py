@@ -30,6 +30,20 @@ def qe6_combined_scores(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", "score", analysis.improvement(F.col("score")).alias("improvement"), (F.col("score") >= 0.75).alias("meets"))
 
 
+def qe6_whole_scores(spark: SparkSession, d: str) -> DataFrame:
+    """QE6, QE7 with similar blocks and the part of links (the share of a page's links that are not broken); qe6_combined_scores and its SQL leave both out."""
+    base = P._qa(spark, d).select("id", F.col("score").alias("base"))
+    check = P.qb_extraction_check(spark, d).select("id", F.col("score").alias("validation"))
+    links = analysis.link_categories(F.col("content"))
+    own = P._pages(spark, d).withColumn("_b", analysis.duplicate_blocks(F.col("content"))).select("id", (F.col("_b.pairs") / F.greatest(F.lit(1), F.col("_b.blocks"))).alias("duplication"), (1 - F.try_divide(links["broken"], links["links"])).alias("kept"))
+    both = base.join(check, "id").join(own, "id")
+    score = analysis.combined_score(F.col("base"), F.col("validation"), F.col("duplication"), F.col("kept"))
+    both = both.select("id", "duplication", "kept", score.alias("score"))
+    # QE7: links and duplication have bars of their own.
+    meets = (F.col("score") >= 0.75) & F.coalesce(F.col("kept") >= 0.8, F.lit(True)) & (F.col("duplication") <= 0.3)
+    return both.select("id", "score", analysis.improvement(F.col("score")).alias("improvement"), meets.alias("meets"))
+
+
 def ag18_regression_summary(spark: SparkSession, d: str) -> DataFrame:
     return analysis.regression_summary(P.rt13_stored_again(spark, d))
 
@@ -51,7 +65,7 @@ def rt10_embedded_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", models.hashed_embedder()(F.col("content")).alias("embedding"))
 
 
-QUERIES = {f.__name__: f for f in (qe3_link_categories, qe4_similar_blocks, qe6_combined_scores, ag18_regression_summary, ag22_score_entropy, qe2_pair_statistics, rt10_embedded_texts)}
+QUERIES = {f.__name__: f for f in (qe3_link_categories, qe4_similar_blocks, qe6_combined_scores, qe6_whole_scores, ag18_regression_summary, ag22_score_entropy, qe2_pair_statistics, rt10_embedded_texts)}
 
 _URLS = r"regexp_extract_all(content, '\[([^\]]*)\]\(([^)]*)\)', 2)"
 

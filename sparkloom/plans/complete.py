@@ -94,6 +94,25 @@ def md10_prompts(spark: SparkSession, d: str) -> DataFrame:
     return asked
 
 
+def md9_labelled_texts(spark: SparkSession, d: str) -> DataFrame:
+    """MD9: chunks with a context line that begins with their type, as the local context writer gives it; chunks without headers stay as they are."""
+    rows = pages._pages(spark, d)
+    kind, head = metadata.content_type(F.col("content"), F.col("url")), F.regexp_extract("content", r"(?m)^#+[ \t]+([^\r\n]+)", 1)
+    rows = rows.select("id", "content", F.upper(kind).alias("_k"), head.alias("_h"))
+    text = F.when(F.col("_h") != "", F.concat(F.lit("["), "_k", F.lit("] "), "_h", F.lit("\n---\n"), "content")).otherwise(F.col("content"))
+    return rows.select("id", F.length(text).alias("chars"), F.md5(text).alias("digest"))
+
+
+def rt13_golden_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """RT13: rows stored again against their first version: words within 0.9 to 1.2 of it, score within -0.1 to +0.05, similarity of 0.95 or more."""
+    again = pages.rt13_stored_again(spark, d).select("first_id", "id", "similarity")
+    now = pages.qa_markdown_quality(spark, d).select("id", "words", "score")
+    both = again.join(now, "id").join(now.select(F.col("id").alias("first_id"), F.col("words").alias("_w"), F.col("score").alias("_s")), "first_id")
+    words = F.col("words").between(F.floor(F.col("_w") * 0.9), F.floor(F.col("_w") * 1.2))
+    score = F.round(F.col("score") - F.col("_s"), 6).between(-0.1, 0.05)
+    return both.select("first_id", "id", words.alias("words_in_range"), score.alias("score_in_range"), (words & score & (F.col("similarity") >= 0.95)).alias("passed"))
+
+
 def ag4_stated_totals(spark: SparkSession, d: str) -> DataFrame:
     """AG4: per url the stated words and the first crawl."""
     rows = table(spark, d, "crawled_pages").filter(F.col("url").isNotNull())
@@ -180,7 +199,7 @@ def rt12_performance_summary(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (cd1_block_contexts, cd2_indented_blocks, cd17_block_metadata, qd2_chunk_links, qd5_glossary_terms, qd10_chunk_recommendations, qd11_corpus_result, qa13_suggestions, qb8_issues, qc7_suggestions, md3_document_metadata, md10_prompts, ag4_stated_totals, ag9_corpus_statistics, ag14_standard_report,
+    for f in (cd1_block_contexts, cd2_indented_blocks, cd17_block_metadata, qd2_chunk_links, qd5_glossary_terms, qd10_chunk_recommendations, qd11_corpus_result, qa13_suggestions, qb8_issues, qc7_suggestions, md3_document_metadata, md10_prompts, md9_labelled_texts, rt13_golden_ranges, ag4_stated_totals, ag9_corpus_statistics, ag14_standard_report,
               ag18_regression_bands, ag20_storage_ratio, ch6_fence_faults, ch7_preservation, ch13_document_chunks, qe1_semantic_sections, qe5_duplicate_kinds, qe8_recommendations, rt12_performance_summary)
 }
 
@@ -238,6 +257,10 @@ SQL = {
     "md10_prompts": f"""WITH w AS (SELECT url, sum(length(content)) AS n, count(*) AS k FROM crawled_pages WHERE url IS NOT NULL AND content IS NOT NULL GROUP BY url)
         SELECT p.id, CASE WHEN t.content_type IS NULL THEN e.content_type ELSE t.content_type END AS template, length(p.content) AS chunk_chars, CAST(least(25000, n + 2 * (k - 1)) AS BIGINT) AS document_chars
         FROM crawled_pages p JOIN w USING (url) LEFT JOIN ({pages.SQL['md8_content_types']}) t ON t.id = p.id LEFT JOIN ({pages.SQL['md8_content_types'].replace(pages._ROWS, "(SELECT id, url, '' AS content FROM crawled_pages WHERE content = '')")}) e ON e.id = p.id WHERE p.content IS NOT NULL""",
+    "md9_labelled_texts": rf"""SELECT id, length(t) AS chars, md5(t) AS digest FROM (SELECT id, CASE WHEN h <> '' THEN '[' || upper(content_type) || '] ' || h || chr(10) || '---' || chr(10) || content ELSE content END AS t
+        FROM (SELECT id, content, regexp_extract(content, '(?m)^#+[ \t]+([^\r\n]+)', 1) AS h FROM {pages._ROWS}) JOIN ({pages.SQL['md8_content_types']}) USING (id))""",
+    "rt13_golden_ranges": f"""WITH q AS (SELECT id, words, score FROM ({pages._QA})), b AS (SELECT a.first_id, a.id, a.similarity, x.words BETWEEN floor(y.words * 0.9::DOUBLE) AND floor(y.words * 1.2::DOUBLE) AS w, round(x.score - y.score, 6) BETWEEN -0.1::DOUBLE AND 0.05::DOUBLE AS s FROM ({pages.SQL['rt13_stored_again']}) a JOIN q x ON x.id = a.id JOIN q y ON y.id = a.first_id)
+        SELECT first_id, id, w AS words_in_range, s AS score_in_range, w AND s AND similarity >= 0.95 AS passed FROM b""",
     "ag4_stated_totals": "SELECT url, CAST(coalesce(sum(metadata.word_count), 0) AS BIGINT) AS total_words, min(metadata.crawl_time) AS first_crawl FROM crawled_pages WHERE url IS NOT NULL GROUP BY url",
     "ag9_corpus_statistics": "SELECT (SELECT count(*) FROM crawled_pages) AS n_rows, (SELECT count(DISTINCT source_id) FROM crawled_pages) AS n_sources, (SELECT round(avg(length(content)), 6) FROM (SELECT content FROM crawled_pages ORDER BY id LIMIT 100)) AS avg_chars",
     "ag14_standard_report": f"SELECT content_type, count(*) AS n, round(avg(score), 6) AS avg_score, round(100 * avg(CAST(score >= 0.7 AS INTEGER)), 6) AS percent_met FROM ({pages._QA}) JOIN ({pages.SQL['md8_content_types']}) USING (id) GROUP BY content_type",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -14,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -41,12 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: what the session names, or a temporary one where nothing is named (tests)."""
+    """The folder for checkpoints: what the session names; a temporary one where nothing is named and all runs on one machine (tests).
+
+    A cluster must name a shared folder in ``spark.checkpoint.dir``: one on the driver's machine would be lost to executors.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
     folder = named or tempfile.mkdtemp(prefix=f"sparkloom-{os.getpid()}-")
     sc.setCheckpointDir(folder)
     return folder
@@ -68,6 +75,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     staged = Path(tempfile.mkdtemp(prefix="sparkloom-zip-"))
+    atexit.register(shutil.rmtree, staged, ignore_errors=True)
     shutil.copytree(root, staged / "in" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(str(staged / f"{root.name}_package"), "zip", staged / "in"))
     sc._sparkloom_shipped = True
