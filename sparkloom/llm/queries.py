@@ -16,8 +16,9 @@ TOKENIZERS = os.environ.get("SPARKLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "crawled_pages")
-    return pieces.split_column(pages, "id", "content").filter("chunk_number = 1").select("id").distinct()
+    """Rows that come out in pieces; every piece is emitted and measured."""
+    cut = p1_pieces(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("content")).alias("most"))
+    return cut.filter((F.col("n") > 1) & (F.col("most") <= pieces.LIMIT)).select("id")
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
