@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,12 +97,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def shipped(path: str) -> str:
+    """Where this worker has the file: at its path, or where the session has put it."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out``: the ids of ``text``. ``path`` must be readable on every executor."""
+    """``df`` with ``out``: the ids of ``text``. The vocabulary file goes out with the session, so ``path`` need only be there on the driver."""
+    df.sparkSession.sparkContext.addFile(path)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = encoder(path)
+        own = encoder(shipped(path))
         for batch in batches:
             offsets, values = [0], []
             for t in batch.to_pylist():
@@ -113,10 +121,11 @@ def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids"
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """``df`` with ``out``: the text of ``ids``; null ids give null."""
+    df.sparkSession.sparkContext.addFile(path)
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = encoder(path)
+        own = encoder(shipped(path))
         for batch in batches:
             yield pa.array([None if x is None else own.decode(x) for x in batch.to_pylist()], pa.string())
 
