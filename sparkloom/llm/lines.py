@@ -22,6 +22,8 @@ from sparkloom.functions.text import folded_lines
 
 #: Bins of the log-likelihood ratio, from which the discovery threshold is read: width and number bound their table.
 BIN_WIDTH, BINS = 0.05, 40_000
+#: Rows that are added to those outside a source, with half a chance occurrence: where few rows lie outside, a line is compared with this rate.
+PRIOR_ROWS = 1_000
 
 
 def _hashes(line: Column) -> list[Column]:
@@ -70,7 +72,7 @@ def excess_lines(
         tested.filter("_k > 1")
         .join(per_line, ["_h1", "_h2"])
         .crossJoin(F.broadcast(every))  # one row
-        .withColumn("_n2", F.col("_all") - F.col("_n") + F.lit(1.0))
+        .withColumn("_n2", F.col("_all") - F.col("_n") + F.lit(float(PRIOR_ROWS)))
         .withColumn("_k2", F.least(F.col("_once") + F.lit(0.5), F.col("_n2")))
         .withColumn("llr", _llr(F.col("_k").cast("double"), F.col("_n").cast("double"), F.col("_k2"), F.col("_n2")))
         .withColumn("_bin", F.least(F.floor(F.col("llr") / BIN_WIDTH), F.lit(BINS)))

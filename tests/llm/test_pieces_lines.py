@@ -119,6 +119,12 @@ def test_rows_that_share_a_key_keep_their_own_lines(spark, words):
     assert lines.remove_repeated(df.limit(0)).columns == df.columns
 
 
+def test_lines_of_the_only_site_are_found(spark, words):
+    rows = [(i, 1, words(i, 12) + ("\nA line on a tenth of all rows" if i % 10 == 0 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, source_id int, content string")
+    assert {tuple(r) for r in lines.find_repeated(df).collect()} == {(i, 2) for i in range(0, 300, 10)}
+
+
 def test_remove_repeated(spark, words):
     rows = site_rows(words)
     df = spark.createDataFrame(rows, "id long, source_id int, content string").withColumn("line_no", F.lit(1)).withColumn("n_rows", F.lit(2))
