@@ -120,6 +120,14 @@ def oracle_sql() -> dict[str, str]:
                  n AS (SELECT source_id, count(*) AS n FROM crawled_pages WHERE source_id IS NOT NULL GROUP BY source_id),
                  k AS (SELECT source_id, line, count(DISTINCT id) AS k FROM t WHERE length(line) >= 20 GROUP BY source_id, line)
             SELECT t.id, CAST(t.line_no AS INTEGER) AS line_no FROM t JOIN k USING (source_id, line) JOIN n USING (source_id) WHERE k.k >= 5 AND k.k * 10 >= n.n""",
+        "p2_clean": rf"""
+            WITH l AS (SELECT id, source_id, unnest(string_split({folded}, chr(10))) AS line, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS line_no
+                       FROM crawled_pages WHERE source_id IS NOT NULL AND content IS NOT NULL),
+                 t AS (SELECT id, source_id, trim(line, ' ') AS line, raw, line_no FROM l),
+                 n AS (SELECT source_id, count(*) AS n FROM crawled_pages WHERE source_id IS NOT NULL GROUP BY source_id),
+                 k AS (SELECT source_id, line FROM t JOIN n USING (source_id) WHERE length(line) >= 20 GROUP BY source_id, line HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) * 10 >= any_value(n)),
+                 c AS (SELECT t.id, string_agg(raw, chr(10) ORDER BY line_no) FILTER (WHERE k.line IS NULL) AS content FROM t LEFT JOIN k ON k.source_id = t.source_id AND k.line = t.line GROUP BY t.id)
+            SELECT p.id, p.source_id, CASE WHEN p.source_id IS NULL OR p.content IS NULL THEN p.content ELSE coalesce(c.content, '') END AS content FROM crawled_pages p LEFT JOIN c ON c.id = p.id""",
         "p3_found": """
             WITH v AS (SELECT 'p' || id AS key, embedding FROM crawled_pages UNION ALL SELECT 'c' || id, embedding FROM code_examples),
                  u AS (SELECT key, CAST(embedding AS DOUBLE[]) AS e FROM v WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
