@@ -125,3 +125,27 @@ def test_files_links_and_prefixes(spark, tmp_path):
     maps = spark.createDataFrame([(f"m{i}", f"<loc>m{i + 1}</loc>") for i in range(9)], "url string, xml string")
     with pytest.raises(ValueError):
         crawl.expand_sitemaps(maps, maps.filter("url = 'm0'").select("url"))
+
+
+def test_fetching(spark):
+    from sparkloom.sources import fetch
+
+    def local(url):
+        if "bad" in url:
+            raise OSError(url)
+        return None if "gone" in url else "<main> </main>" if "blank" in url else f"<nav>x</nav><main><h1>{url}</h1></main>"
+
+    urls = spark.createDataFrame([("u1",), ("u1",), ("bad",), ("gone",), (None,), ("blank",)], "url string")
+    assert {(r["url"], r["success"]) for r in fetch.fetch(urls, local, partitions=3).collect()} == {("u1", True), ("bad", False), ("gone", False), ("blank", True)}
+    assert [tuple(r) for r in fetch.fetched_pages(urls, local).collect()] == [("u1", "# u1")]
+
+
+def test_switches():
+    import pytest
+
+    from sparkloom.settings import Switches
+
+    assert Switches().tools() == Switches.of({}).tools() and "search_code_examples" not in Switches().tools()
+    assert Switches.of({"USE_AGENTIC_RAG": " True ", "USE_RERANKING": "0"}).tools()[-1] == "search_code_examples"
+    with pytest.raises(ValueError):
+        Switches(code_summaries=True)
